@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, url_filters
+from . import decontamination, license_scans, quality_rules, sentencepieces, url_filters
 from .common import table
 
 #: (host, path, allow); the names in results are host and path.
@@ -17,11 +18,31 @@ URL_RULES = [
 ]
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document: its pieces, their number and digest, and whether they decode to the text."""
+    encoded = sentencepieces.encode_texts(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    digest = F.sha2(F.array_join(F.col("pieces").cast("array<string>"), ",").cast("binary"), 256)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return encoded.select("doc_id", "n_pieces", digest.alias("pieces_sha256"), same.alias("round_trip"), "pieces")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scans.scan_licenses(table(spark, sf_dir, "documents"), license_scans.known_licenses(spark))
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontamination.find_contamination(docs, items, ["doc_id"], with_spans=False)
+    items_sha256 = decontamination.items_digest(F.col("items"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_sha256.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontamination, license_scans, quality_rules
 from .common import LOWER, UPPER
 
 #: As URL_RULES in queries.py.
@@ -67,3 +67,44 @@ FROM c LEFT JOIN bad USING (rid)
 
 
 OP5 = _op5()
+
+
+def _op6() -> str:
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = [(name, form.format(spelled)) for name, all_ in license_scans.NAMES.items() for spelled in all_ for form in license_scans.NOTICES] + list(license_scans.TEXTS.items())
+    known = ", ".join(f"({text(a)}, {text(b)})" for a, b in rows)
+
+    def lines(column: str) -> str:
+        out = f"regexp_replace(lower({column}), '(^|\\n)[^\\pL\\pN\\n]*(copyright[ :]*(\\(c\\)|©|[0-9])|\\(c\\)|©|all rights reserved)[^\\n]*', '\\1', 'g')"
+        out = f"regexp_replace({out}, '[^\\pL\\pN\\n]+', ' ', 'g')"
+        for seen, meant in license_scans.SPELLINGS:
+            out = f"replace({out}, '{seen}', '{meant}')"
+        return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+    return f"""
+WITH k AS (SELECT sha256(array_to_string(l, ' ')) AS digest, min(license) AS license
+           FROM (SELECT license, {lines("t")} AS l FROM (VALUES {known}) AS v(license, t)) WHERE len(l) > 0 GROUP BY 1),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {lines("coalesce(text, '')")} AS l FROM documents),
+w AS (SELECT rid, doc_id, l, len(l) AS n_lines, CASE WHEN len(l) > 0 THEN sha256(array_to_string(l, ' ')) END AS text_sha256 FROM d),
+h AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT rid, sha256(unnest(l)) AS digest FROM w) JOIN k USING (digest) GROUP BY rid)
+SELECT doc_id, n_lines, text_sha256, k.license, coalesce(h.notices, '') AS notices
+FROM w LEFT JOIN k ON k.digest = text_sha256 LEFT JOIN h USING (rid)
+"""
+
+
+OP6 = _op6()
+
+_WORDS = "list_filter(string_split_regex(translate(coalesce({t}, ''), '" + UPPER + "', '" + LOWER + "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_K = decontamination.WINDOW_WORDS
+OP7 = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(t="text")} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, list_slice(ws, s, s + {_K} - 1) AS x FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - {_K - 1}, 1) + 1)) AS s FROM i WHERE len(ws) > 0)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(t="text")} AS ws FROM documents),
+sizes AS (SELECT DISTINCT len(x) AS n FROM win),
+p AS (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, sizes WHERE len(ws) >= n),
+hit AS (SELECT rid, s, n, item FROM (SELECT rid, s, n, list_slice(ws, s, s + n - 1) AS x FROM p) JOIN win USING (x)),
+c AS (SELECT rid, count(DISTINCT w) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS w FROM hit) GROUP BY rid),
+t AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+"""
