@@ -11,8 +11,8 @@ from . import sql_checks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (q.op3_sentencepiece, q.op5_quality_rules, q.op6_license_scans, q.op7_decontamination, q.op10_url_filters)}
+    return {f.__name__: f for f in (q.op3_sentencepiece, q.op4_minhash_dedup, q.op5_quality_rules, q.op6_license_scans, q.op7_decontamination, q.op9_html_extraction, q.op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": sql_checks.OP5, "op6_license_scans": sql_checks.OP6, "op7_decontamination": sql_checks.OP7, "op10_url_filters": sql_checks.OP10}
+    return {"op4_minhash_dedup": sql_checks.OP4, "op5_quality_rules": sql_checks.OP5, "op6_license_scans": sql_checks.OP6, "op7_decontamination": sql_checks.OP7, "op10_url_filters": sql_checks.OP10}
