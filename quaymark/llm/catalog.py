@@ -11,7 +11,7 @@ from . import sql_checks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (q.op1_line_dedup, q.op3_sentencepiece, q.op4_minhash_dedup, q.op5_quality_rules, q.op6_license_scans, q.op7_decontamination, q.op8_suffix_dedup, q.op9_html_extraction, q.op10_url_filters)}
+    return {f.__name__: f for f in (q.op1_line_dedup, q.op2_lm_scoring, q.op3_sentencepiece, q.op4_minhash_dedup, q.op5_quality_rules, q.op6_license_scans, q.op7_decontamination, q.op8_suffix_dedup, q.op9_html_extraction, q.op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:

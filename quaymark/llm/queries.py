@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, license_scans, line_dedup, minhash, quality_rules, sentencepieces, suffix_dedup, url_filters
+from . import decontamination, html_text, license_scans, line_dedup, lm_scoring, minhash, quality_rules, sentencepieces, suffix_dedup, url_filters
 from .common import table
 
 #: (host, path, allow); the names in results are host and path.
@@ -24,6 +24,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: its pieces, their number and digest, and whether they decode to the text."""
     encoded = sentencepieces.encode_texts(table(spark, sf_dir, "documents"), ["doc_id", "text"])
