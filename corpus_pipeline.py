@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import quality_rules
+from quaymark.llm import decontamination, line_dedup, minhash, quality_rules, sentencepieces
 from quaymark.llm.common import table, written
 
 #: No SQL expresses the tokenizer's stage; tests hold the rows against a plain version of every stage.
@@ -18,7 +18,41 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.judge(rows, ["_row"], store=False).where("kept").select("_row.*")
 
 
-STAGES = [("quality rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: lines that repeat go, n_chars follows the text, and documents that lose lines and keep no word go."""
+    left = line_dedup.dedup_lines(docs)
+    left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
+    return left.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup on shingles of five words: of each group the document with the smallest id stays."""
+    gone = minhash.near_duplicates(docs.select("doc_id", "text"), shingle_words=5).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents with words of a benchmark window go."""
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    found = decontamination.find_contamination(rows, table(spark, sf_dir, "benchmark"), ["_row"], with_spans=False)
+    return found.where("n_hit = 0").select("_row.*")
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece: every text's pieces, and whether they decode to the text."""
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    out = sentencepieces.encode_texts(rows, ["_row"])
+    return out.select("_row.*", "pieces", "n_pieces", (F.col("decoded") == F.coalesce(F.col("_row.text"), F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("minhash near-dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("sentencepiece", pieces_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
