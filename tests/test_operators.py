@@ -59,11 +59,11 @@ def test_only_long_runs_are_closed(spark):
 
 @pytest.mark.parametrize(
     ("ahead", "label", "hit"),
-    [([(100, 111, 100, 105)], 2, 2), ([(100, 100, 89, 95)], 0, 0), ([(100, 110, 90, 100)], -1, 3), ([(100, 110, 95, 100)], 2, 2), ([(100, 101, 99, 100)], 1, 1), ([], -2, -1)],
+    [([(100, 126, 100, 105)], 2, 2), ([(100, 100, 70, 95)], 0, 0), ([(100, 125, 75, 100)], -1, 3), ([(100, 125, 95, 100)], 2, 2), ([(100, 101, 99, 100)], 1, 1), ([], -2, -1)],
 )
 def test_first_touch(spark, ahead, label, hit):
     b = bars(spark, [(0, 100, 100, 100, 100), *[(i + 1, *a) for i, a in enumerate(ahead)]])
-    row = barriers.triple_barrier(b, STEP, [(0.1, 1)]).orderBy("ts_ms").first()
+    row = barriers.triple_barrier(b, STEP, [(0.25, 1)]).orderBy("ts_ms").first()
     assert (row.label, row.hit) == (label, hit)
     assert (row.exit_ms, row.elapsed) == ((STEP, 1.0) if ahead else (None, None))
 
