@@ -137,7 +137,7 @@ def _scanner(shared, with_spans: bool, first: bool, last: bool):
                 if not first:
                     ids |= set(batch.column(4)[i].as_py())
                     places = batch.column(5)[i].as_py() + places
-                    ranges += batch.column(6)[i].as_py()
+                    ranges += map(tuple, batch.column(6)[i].as_py())
                 places.sort(key=lambda p: (p["start"], p["end"], p["item"]))
                 out.append((n, covered(ranges), sorted(ids), places, ranges))
             columns = list(zip(*out)) or [()] * 5
