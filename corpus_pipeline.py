@@ -20,10 +20,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: lines that repeat go, n_chars follows the text, and documents that lose lines and keep no word go."""
-    left = line_dedup.dedup_lines(docs)
+    left = line_dedup.dedup_lines(docs.select(F.struct("*").alias("_row"), "doc_id", "text"))
     left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
-    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
-    return left.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") == 0, F.col("_row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return left.select(F.col("_row").withField("text", F.col("text")).withField("n_chars", n_chars).alias("_row")).select("_row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,8 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """SentencePiece: every text's pieces, and whether they decode to the text."""
     rows = docs.select(F.struct("*").alias("_row"), "text")
     out = sentencepieces.encode_texts(rows, ["_row"])
-    return out.select("_row.*", "pieces", "n_pieces", (F.col("decoded") == F.coalesce(F.col("_row.text"), F.lit(""))).alias("round_trip"))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("pieces", "n_pieces", "round_trip")]
+    return out.select(*kept, "pieces", "n_pieces", (F.col("decoded") == F.coalesce(F.col("_row.text"), F.lit(""))).alias("round_trip"))
 
 
 STAGES = [
