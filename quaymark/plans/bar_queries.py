@@ -460,3 +460,16 @@ def _(spark, d):
 @query("a04_label_summary", with_bars("d1", f"SELECT multiplier, count(*) AS n_rows, count(*) FILTER (label IN (0, 1, 2)) AS n_valid, {_COUNTS}, {_PCTS} FROM t GROUP BY 1", *dynamic_ctes(DAY)), "multiplier short_pct timeout_pct long_pct")
 def _(spark, d):
     return diagnostics.label_counts(barriers.dynamic_barrier(sub.day_bars(spark, d), DAY, _MULTIPLIERS), ["multiplier"])
+
+
+@query("segment_overview", with_bars("h1", f"""SELECT instrument, CAST(segment AS BIGINT) AS segment, count(*) AS n_bars, min(ts_ms) AS first_ms, count(return_1m) AS n_returns, count(volatility_15m) AS n_volatility, count(future_return_5m) AS n_targets,
+ avg(return_1m) AS mean_return, max(volatility_15m) AS max_volatility FROM f GROUP BY 1, 2""", *feature_ctes(HOUR)), "mean_return max_volatility")
+def _(spark, d):
+    """Hourly bars, their continuous segments, and how many bars of each have returns, volatility and a target."""
+    bars = segments.gap_segments(sub.hour_bars(spark, d), HOUR)
+    first = lambda r: {"return_1m": C.change(F.col("close"), r.lag("close", 1))} | features.future_returns(r, HOUR, (5,))
+    rows = features.windows(features.windows(bars, HOUR, first, 1, 5), HOUR, lambda r: {"volatility_15m": r.std("return_1m", 15)}, 15)
+    return rows.groupBy("instrument", "segment").agg(
+        F.count("*").alias("n_bars"), F.min("ts_ms").alias("first_ms"), F.count("return_1m").alias("n_returns"), F.count("volatility_15m").alias("n_volatility"), F.count("future_return_5m").alias("n_targets"),
+        F.avg("return_1m").alias("mean_return"), F.max("volatility_15m").alias("max_volatility"),
+    )
