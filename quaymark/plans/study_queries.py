@@ -401,3 +401,107 @@ def _(spark, d):
     for _ in range(2):
         streaming.run_available(bars, f"{place}/bars", f"{place}/checkpoint")
     return spark.read.parquet(f"{place}/bars")
+
+
+# further operators of the inventory, each over whole tables
+@query("l01_single_horizon", with_bars("h1", 'SELECT instrument, ts_ms, r AS future_return_15m FROM (SELECT *, CASE WHEN lead(ts_ms, 15) OVER w - ts_ms = 15 * 3600000 THEN lead("close", 15) OVER w / nullif("close", 0) - 1 END AS r FROM b WINDOW w AS (PARTITION BY instrument ORDER BY ts_ms)) WHERE r IS NOT NULL'), "future_return_15m")
+def _(spark, d):
+    rows = features.windows(sub.hour_bars(spark, d), HOUR, lambda r: features.future_returns(r, HOUR, (15,)), 0, 15)
+    return rows.dropna(subset=["future_return_15m"]).select("instrument", "ts_ms", "future_return_15m")
+
+
+@query("w17_log_returns", with_bars("d1", 'SELECT instrument, ts_ms, ln("close" / lag("close") OVER (PARTITION BY instrument, segment ORDER BY ts_ms)) AS log_return FROM s', seg(DAY)), "log_return")
+def _(spark, d):
+    return features.windows(sub.day_bars(spark, d), DAY, lambda r: {"log_return": F.log(C.ratio(F.col("close"), r.lag("close", 1)))}, 1).select("instrument", "ts_ms", "log_return")
+
+
+@query("w12_rolling_sum", with_bars("h1", 'SELECT instrument, ts_ms, CASE WHEN count(*) OVER w = 10 THEN sum("close" - "open") OVER w END AS total FROM s WINDOW w AS (PARTITION BY instrument, segment ORDER BY ts_ms ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)', seg(HOUR)), "total")
+def _(spark, d):
+    rows = sub.hour_bars(spark, d).withColumn("body", F.col("close") - F.col("open"))
+    return features.windows(rows, HOUR, lambda r: {"total": r.total("body", 10)}, 10).select("instrument", "ts_ms", "total")
+
+
+@query("f03_calendar", with_bars("m1", f"""SELECT ts_ms, CAST(CAST(make_timestamp(ts_ms * 1000) AS DATE) AS VARCHAR) AS date, {_YEAR} AS year, CAST(isodow(make_timestamp(ts_ms * 1000)) - 1 AS INT) AS day_of_week, CAST(hour(make_timestamp(ts_ms * 1000)) AS INT) AS hour,
+ CAST(minute(make_timestamp(ts_ms * 1000)) AS INT) AS minute, CAST(hour(make_timestamp(ts_ms * 1000)) BETWEEN 7 AND 15 AS INT) AS session_london, CAST(hour(make_timestamp(ts_ms * 1000)) BETWEEN 13 AND 20 AS INT) AS session_newyork,
+ CAST(hour(make_timestamp(ts_ms * 1000)) BETWEEN 13 AND 15 AS INT) AS session_overlap FROM b"""))
+def _(spark, d):
+    return sub.minute_bars(spark, d).select("ts_ms", *[v.alias(k) for k, v in (C.calendar() | C.trading_sessions()).items()]).withColumn("date", F.col("date").cast("string"))
+
+
+@query("p09_finite_rows", "SELECT o_orderkey, o_totalprice / nullif(o_custkey % 5, 0) AS ratio FROM orders WHERE o_custkey % 5 <> 0", "ratio")
+def _(spark, d):
+    rows = src.table(spark, d, "orders").select("o_orderkey", C.ratio(F.col("o_totalprice"), F.col("o_custkey") % 5).alias("ratio"))
+    return rows.where(C.all_finite("ratio"))
+
+
+@query("p16_clipped", with_bars("h1", 'SELECT instrument, ts_ms, least(greatest("close", 20.0::DOUBLE), 80.0::DOUBLE) AS clipped FROM b'), "clipped")
+def _(spark, d):
+    return sub.hour_bars(spark, d).select("instrument", "ts_ms", C.clip(F.col("close"), 20.0, 80.0).alias("clipped"))
+
+
+@query("f11_argmax", "SELECT event_id, CASE WHEN value >= event_id % 97 AND value >= event_id % 89 THEN 0 WHEN event_id % 97 >= event_id % 89 THEN 1 ELSE 2 END AS best FROM events")
+def _(spark, d):
+    scores = F.array(F.col("value"), (F.col("event_id") % 97).cast("double"), (F.col("event_id") % 89).cast("double"))
+    return src.table(spark, d, "events").select("event_id", C.argmax(scores).alias("best"))
+
+
+@query("t12_union", f"SELECT instrument, ts_ms FROM ({SQL['d1']}) UNION ALL SELECT instrument, ts_ms FROM ({SQL['o1']})")
+def _(spark, d):
+    return sub.day_bars(spark, d).unionByName(sub.order_day_bars(spark, d)).select("instrument", "ts_ms")
+
+
+@query("t13_set_operations", f"SELECT ts_ms, 'both' AS side FROM (SELECT ts_ms FROM ({SQL['d1']}) INTERSECT SELECT ts_ms FROM ({SQL['o1']})) UNION ALL SELECT ts_ms, 'lines' FROM (SELECT ts_ms FROM ({SQL['d1']}) EXCEPT SELECT ts_ms FROM ({SQL['o1']}))")
+def _(spark, d):
+    a, b = sub.day_bars(spark, d).select("ts_ms"), sub.order_day_bars(spark, d).select("ts_ms")
+    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("lines")))
+
+
+@query("a13_value_counts", f"SELECT {_YEAR} AS year, o_orderstatus AS label, count(*) AS n FROM (SELECT epoch_ms(o_orderdate) AS ts_ms, o_orderstatus FROM orders) GROUP BY 1, 2")
+def _(spark, d):
+    rows = src.table(spark, d, "orders").select(F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"), F.col("o_orderstatus").alias("label"))
+    return diagnostics.with_year(rows).groupBy("year", "label").agg(F.count("*").alias("n"))
+
+
+_CLASS_SIGNALS = f"SELECT instrument, ts_ms, ts_ms + 5 * {HOUR}::BIGINT AS exit_ms, CASE WHEN called = 2 THEN 1 ELSE -1 END AS side, y FROM sc WHERE called <> 1"
+
+
+@query("b02_class_trades", _recursive(with_bars("ht", "SELECT instrument, ts_ms, side, side * y - 0.0002::DOUBLE AS net FROM walk", *feature_ctes(HOUR), _SCORES, _walk_sql(_CLASS_SIGNALS, ["instrument"]))), "net")
+def _(spark, d):
+    side = F.when(F.col("called") == 2, 1).otherwise(-1)
+    signals = _scores(spark, d).where("called <> 1").select("instrument", "ts_ms", (F.col("ts_ms") + 5 * HOUR).alias("exit_ms"), side.alias("side"), "y")
+    trades = simulate.non_overlapping(signals, ["instrument"])
+    return trades.select("instrument", "ts_ms", "side", (F.col("side") * F.col("y") - 0.0002).alias("net"))
+
+
+_DYNAMIC_SIGNALS = 'SELECT t.instrument, t.key, t.multiplier, t.ts_ms, t.exit_ms, t.label, t.width, t."close" AS entry, t.exit_close, CASE WHEN t."close" < t."open" THEN 1 ELSE -1 END AS side FROM t WHERE label IN (0, 1, 2)'
+
+
+@query("b04_dynamic_barrier_trades", _recursive(with_bars("d1", f"SELECT multiplier, ts_ms, exit_ms, label, side, {_BARRIER_GROSS} AS gross FROM walk", *dynamic_ctes(DAY), _walk_sql(_DYNAMIC_SIGNALS, ["instrument", "key"], ">"))), "multiplier gross")
+def _(spark, d):
+    rows = barriers.dynamic_barrier(sub.day_bars(spark, d), DAY, (0.1, 0.25)).where("label in (0, 1, 2)")
+    side = F.when(F.col("close") < F.col("open"), 1).otherwise(-1)
+    signals = rows.select("instrument", "multiplier", "ts_ms", "exit_ms", "label", "width", F.col("close").alias("entry"), "exit_close", side.alias("side"))
+    trades = simulate.non_overlapping(signals, ["instrument", "multiplier"], strict=True)
+    gross = simulate.barrier_gross(F.col("side"), F.col("label"), F.col("width"), F.col("entry"), F.col("exit_close"))
+    return trades.select("multiplier", "ts_ms", "exit_ms", "label", "side", gross.alias("gross"))
+
+
+@query("g08_nearest_threshold", f"SELECT instrument, cost_bps, threshold, trades FROM ({_GRID_SQL}) QUALIFY row_number() OVER (PARTITION BY instrument, cost_bps ORDER BY abs(threshold - 0.4::DOUBLE), threshold) = 1", "cost_bps threshold")
+def _(spark, d):
+    return splits.nearest(_grid(spark, d), ["instrument", "cost_bps"], "threshold", 0.4).select("instrument", "cost_bps", "threshold", "trades")
+
+
+@query("g07_nested_halves")
+def _(spark, d):
+    """Thresholds that are best on the first half of the month, with their results on the second half at every cost."""
+    trades = _trades(spark, d).withColumn("gross", F.col("gross") * 0.01).withColumn("half", (F.dayofmonth(C.at()) > 15).cast("int"))
+    grid = simulate.equity(simulate.with_costs(trades, _COSTS), ["instrument", "threshold", "half", "cost_bps"])
+    inner, outer = grid.where("half = 0 and cost_bps = 2").drop("half", "cost_bps"), grid.where("half = 1")
+    return splits.nested(inner, outer, ["instrument"], ["threshold"], [F.desc("compound_return"), F.desc("profit_factor"), F.desc("trades")], F.col("trades") >= 5)
+
+
+@query("a10_feature_stability", f"""SELECT feature, avg(advantage) AS mean, stddev_samp(advantage) AS std, min(advantage) AS min, max(advantage) AS max FROM ({_feature_auc_sql().replace("SELECT feature, (sum(", "SELECT instrument, feature, (sum(").replace("PARTITION BY feature", "PARTITION BY instrument, feature").replace("GROUP BY feature, n1, n0", "GROUP BY instrument, feature, n1, n0").replace("' AS feature", "' AS feature, instrument")}) GROUP BY 1 ORDER BY mean DESC, std, feature LIMIT 10""", "mean std min max")
+def _(spark, d):
+    aucs = metrics.feature_auc(_labelled(spark, d), _PICKED, ["instrument"])
+    out = aucs.groupBy("feature").agg(F.avg("advantage").alias("mean"), F.stddev_samp("advantage").alias("std"), F.min("advantage").alias("min"), F.max("advantage").alias("max"))
+    return out.orderBy(F.desc("mean"), "std", "feature").limit(10)
