@@ -20,7 +20,7 @@ from .common import written
 LENGTH, GRAM = 200, 50
 #: A run is sorted and sent when its suffixes have so many bytes; a block of a run has so many suffixes.
 RUN_BYTES, BLOCK = 24_000_000, 512
-#: A group of suffixes with a common GRAM is judged in memory up to so many distinct ones; windows of a larger one are counted by Spark.
+#: A group of suffixes with a common GRAM is judged in memory up to so many distinct contexts; windows of a larger one are cut and counted by Spark.
 GROUP = 2_000
 #: Buckets of suffixes for each shuffle partition; only suffixes with the same first GRAM bytes meet, so buckets go by their hash.
 BUCKETS = 4
@@ -186,30 +186,33 @@ def judge_group(group: Group, length: int) -> Iterator[tuple[bytes, list[int], N
             yield context_id(left, suffix), _window_ranges(found), None
 
 
-def _hashed_group(group: Group, length: int) -> Iterator[tuple[bytes, None, list[bytes]]]:
-    """The same contexts with the hashes of all their strings, twice for a context that occurs twice."""
+def _unjudged(group: Group, length: int) -> Iterator[tuple[bytes, list[int] | None, bytes]]:
+    """The same contexts with their bytes, and the ranges only of one that is known to occur twice."""
     for suffix, _, lefts in group:
         for left, count in lefts.items():
             text = left + suffix
-            yield context_id(left, suffix), None, [xxhash.xxh3_128_digest(text[k : k + length]) for k in range(len(text) - length + 1)] * min(count, 2)
+            yield context_id(left, suffix), [0, len(text) - length] if count > 1 else None, text
 
 
-def _merge_bucket(runs: list[list], length: int, gram: int) -> Iterator[tuple[bytes, list[int] | None, list[bytes] | None]]:
-    """(context id, ranges, None), or in groups of more than GROUP suffixes (context id, None, hashes of strings)."""
+def _merge_bucket(runs: list[list], length: int, gram: int, most: int | None = None) -> Iterator[tuple[bytes, list[int] | None, bytes | None]]:
+    """(context id, ranges, None), or in groups of `most` (GROUP) distinct contexts and more what _unjudged gives; a context may come in two rows then."""
+    most = GROUP if most is None else most
     group: Group = []
     n, before, judge = 0, b"", judge_group
     for known, suffix, (left, count) in LoserTree([decoded(r) for r in runs]):
         if known < gram:
             yield from judge(group, length)
-            group, n, judge = [(suffix, 0, {left: count})], 0, judge_group
+            group, n, judge = [(suffix, 0, {left: count})], 1, judge_group
         elif group and known == len(suffix) == len(before):
             lefts = group[-1][2]
+            n += left not in lefts
             lefts[left] = lefts.get(left, 0) + count
         else:
             group.append((suffix, known, {left: count}))
-        before, n = suffix, n + 1
-        if n >= GROUP:
-            judge = _hashed_group
+            n += 1
+        before = suffix
+        if n >= most:
+            judge = _unjudged
             yield from judge(group, length)
             group, n = [], 0
     yield from judge(group, length)
@@ -269,15 +272,15 @@ def _run_builder(length: int, gram: int, buckets: int):
     return run
 
 
-def _merger(length: int, gram: int):
+def _merger(length: int, gram: int, group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list) -> pa.RecordBatch:
             columns = list(zip(*rows)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())))], names=["context", "ranges", "hashes"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.list_(pa.int32()), pa.binary()))], names=["context", "ranges", "string"])
 
         def merged(runs: dict) -> Iterator[pa.RecordBatch]:
             rows = []
-            for row in _merge_bucket(list(runs.values()), length, gram):
+            for row in _merge_bucket(list(runs.values()), length, gram, group):
                 rows.append(row)
                 if len(rows) >= 4096:
                     yield out(rows)
@@ -299,8 +302,11 @@ def _merger(length: int, gram: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, key, ranges) of the (doc_id, key, text) rows with repeated strings; ranges are flat lists of first and last byte start of such strings."""
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """(doc_id, key, ranges) of the (doc_id, key, text) rows with repeated strings; ranges are flat lists of first and last byte start of such strings.
+
+    group says from how many contexts on a group's strings are counted by Spark, over all tasks; the rows are the same.
+    """
     if not gram < length <= 255 + gram:
         raise ValueError("gram < length <= gram + 255")
 
@@ -317,12 +323,15 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     texts = docs.join(places, ["doc_id", "key"]).select("doc_id", "key", "text", "places")
     runs = written(texts.mapInArrow(_run_builder(length, gram, buckets), _BLOCK_SCHEMA), "runs", ("kind",))
     blocks = runs.where("kind = 1").select("bucket", "run", "block", "prefixes", "tails", "lefts", "counts")
-    judged = blocks.repartition("bucket").sortWithinPartitions("bucket", "run", "block").mapInArrow(_merger(length, gram), "context binary, ranges array<int>, hashes array<binary>")
+    judged = blocks.repartition("bucket").sortWithinPartitions("bucket", "run", "block").mapInArrow(_merger(length, gram, group), "context binary, ranges array<int>, string binary")
     judged = written(judged, "judged")
-    small = judged.where("ranges is not null").select("context", "ranges")
-    windows = judged.where("hashes is not null").select("context", F.posexplode("hashes").alias("k", "window"))
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    large = windows.join(twice, "window", "left_semi").select("context", F.array(F.col("k"), F.col("k")).cast("array<int>").alias("ranges"))
+    small = judged.where("string is null").select("context", "ranges")
+    large = judged.where("string is not null").select("context", F.when(F.col("ranges").isNull(), 1).otherwise(2).alias("weight"), "string").repartition("context")
+    windows = large.select("context", "weight", "string", F.explode(F.sequence(F.lit(0), F.length("string") - length)).alias("k"))
+    windows = windows.select("context", "weight", "k", F.unhex(F.md5(F.substring("string", F.col("k") + 1, F.lit(length)))).alias("window"))
+    twice = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
+    ranges = F.flatten(F.transform(F.array_sort(F.collect_set("k")), lambda k: F.array(k, k)))
+    large = windows.join(twice, "window", "left_semi").groupBy("context").agg(ranges.alias("ranges"))
     contexts = runs.where("kind = 0").select("doc_id", "key", F.explode(F.arrays_zip("places", "contexts")).alias("x")).select("doc_id", "key", F.col("x.places").alias("place"), F.col("x.contexts").alias("context"))
     start = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(F.lit(255))
     hit = contexts.join(small.unionByName(large), "context").select("doc_id", "key", start.alias("start"), "ranges")
@@ -345,7 +354,7 @@ def cut(data: bytes, ranges: list[int], length: int = LENGTH) -> tuple[list[tupl
     return spans, b"".join([*rest, data[at:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) of every row.
 
     Texts are UTF-8 bytes, null is empty. Every byte goes that is covered by a string of `length` bytes which also starts anywhere else, in another row or in the
@@ -356,7 +365,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
     front-coded runs, which are exchanged by gram and merged by loser trees; common prefixes of neighbours tell which strings repeat.
     """
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
-    found = repeated_ranges(keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))), length, gram)
+    found = repeated_ranges(keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))), length, gram, group)
     ranges = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "ranges")
     rows = keyed.join(ranges, (F.coalesce("doc_id", F.lit(-1)) == F.col("_id")) & (F.col("key") == F.col("_key")), "left").select("doc_id", "text", "ranges")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>"

@@ -65,6 +65,38 @@ def test_large_groups_are_counted_by_spark(spark, monkeypatch):
     assert run(spark, rows) == dict(enumerate(plain(texts, 200)))
 
 
+def around(rng, passage, n, side):
+    """n texts with the passage in unlike surroundings, and some whose surroundings are equal for a while before clean bytes follow."""
+    some = lambda k: "".join(rng.choices("abcdefghijklmnop", k=k))
+    texts = [some(side) + passage + some(side) for _ in range(n)]
+    texts += [x + some(250) for x in texts[:3]]
+    texts += [texts[4][-side - len(passage) :] + some(200), some(90) + texts[5][: side + len(passage)]]
+    return texts
+
+
+def test_groups_beyond_the_limit(spark):
+    """A passage in more documents than GROUP: a context that occurs twice must not mark strings behind it."""
+    rng = random.Random(8)
+    texts = around(rng, "".join(rng.choices("ABCDEFGHIJ", k=150)), suffix_dedup.GROUP + 100, 90)
+    assert run(spark, [(i, t, None, None) for i, t in enumerate(texts)]) == dict(enumerate(plain(texts, 200)))
+
+
+def test_small_and_large_groups_give_the_same(spark):
+    rng = random.Random(9)
+    passages = ["".join(rng.choices("ABCDEFGHIJ", k=k)) for k in (120, 200, 330)]
+    texts = [t for p in passages for t in around(rng, p, 25, 110)] + [passages[2]] * 2 + [passages[2] * 2]
+    expected = dict(enumerate(plain(texts, 200)))
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    for group in (3, 20, 1 << 40):
+        assert run(spark, rows, group=group) == expected
+
+
+def test_a_context_in_many_runs_is_one():
+    text = ("".join(random.Random(10).choices("ab", k=200)).encode(), b"left", 1)
+    runs = [list(suffix_dedup.front_coded([text])) for _ in range(8)]
+    assert [(r, h) for _, r, h in suffix_dedup._merge_bucket(runs, 200, 50, 5)] == [([0, 4], None)]
+
+
 def test_loser_tree_keeps_order_and_prefixes():
     rng = random.Random(7)
     words = ["".join(rng.choices("ab", k=rng.randint(0, 12))).encode() for _ in range(500)]
