@@ -192,8 +192,9 @@ def _rest_links(lists: DataFrame, members: DataFrame, texts: DataFrame, size: in
     """The (a, b) that the hubs have missed: within each list, every node outside the list's largest component against every node, in blocks of BLOCK x BLOCK.
 
     Two sets of n and m shingles are linked only if percent / (100 + percent) * (n + m) are common. A node that shares fewer than that with all others
-    together, for the smallest m of its list, has no link there, and is left out. Only links that join different components are emitted, so
-    a group of n near copies gives n - 1 links at most in a block, not n^2.
+    together, for the smallest m of its list, has no link there, and is left out. A node of the largest component only has to reach nodes outside it, so its m
+    is the smallest of those; a node outside may be linked to any node. Only links that join different components are emitted, so a group of n near
+    copies gives n - 1 links at most in a block, not n^2.
     """
     known = lists.join(members, "node", "left").select("value", "node", F.coalesce("component", "node").alias("component"))
     parts = known.groupBy("value", "component").agg(F.count("*").alias("n"))
@@ -203,8 +204,9 @@ def _rest_links(lists: DataFrame, members: DataFrame, texts: DataFrame, size: in
     rows = rows.join(_shared_sizes(of_rows, size), "node").withColumn("minor", F.col("component") != F.col("major"))
     enough = F.expr(f"{100 + percent} * shared >= {percent} * (n + least_n)")
     rows = rows.join(rows.groupBy("value").agg(F.min("n").alias("least_n")), "value").where(enough).drop("least_n")
-    of_list = rows.groupBy("value").agg(F.min(F.when(F.col("minor"), F.col("n"))).alias("least_n"))
-    rows = written(rows.join(of_list, "value").where(enough), "rest-rows")
+    of_list = rows.groupBy("value").agg(F.min("n").alias("least"), F.min(F.when(F.col("minor"), F.col("n"))).alias("least_minor"))
+    least_n = F.when(F.col("minor"), F.col("least")).otherwise(F.col("least_minor"))
+    rows = written(rows.join(of_list, "value").withColumn("least_n", least_n).where(enough).drop("least", "least_minor"), "rest-rows")
     counts = rows.groupBy("value").agg(F.count("*").alias("n_all"), F.count_if("minor").alias("n_minor"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
     counts = counts.groupBy("mark", "n_all", "n_minor").agg(F.min("value").alias("value"))  # lists of the same nodes
     rows = rows.join(counts, "value")

@@ -73,6 +73,31 @@ def test_chains_and_stars_of_near_copies(spark):
     assert run(spark, docs) == plain(docs, 4)
 
 
+def test_groups_of_extended_and_cut_members(spark):
+    """A member with unique text of its own may be linked only to a smaller one, which the group's hub isn't."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(60, 140))
+        most = len(base) // 4
+        texts += [" ".join(varied(rng, words, base, rng.randint(0, 1))) for _ in range(6)]
+        for _ in range(4):
+            texts.append(" ".join(base + rng.choices(words, k=rng.randint(0, most))))
+            texts.append(" ".join(base[: len(base) - rng.randint(0, most)]))
+    docs = list(enumerate(texts))
+    assert run(spark, docs) == plain(docs, 4)
+
+
+def test_one_large_member_outside(spark):
+    """x has 20 shingles besides the 80 of y, and of the hub's component only y is linked to it."""
+    words = [f"w{i}" for i in range(83)]
+    near = [" ".join(words[:-2] + [f"v{i}", "end"]) for i in range(6)]
+    near += [" ".join(words[:40] + ["u"] + words[41:-2] + [f"v{i}", "end"]) for i in range(6)]
+    docs = list(enumerate([*near, " ".join(words), " ".join(words + [f"x{i}" for i in range(20)])]))
+    assert run(spark, docs) == plain(docs, 4)
+
+
 def test_blocks_are_cut(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 5)
     monkeypatch.setattr(minhash, "STAR", 3)
