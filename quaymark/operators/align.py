@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,12 +62,15 @@ def forward_by_time(bars: DataFrame, step_ms: int, horizon: int) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, columns: Sequence[str], within_ms: int) -> DataFrame:
-    """An extension: the last right row at or before each left time, no older than within_ms. Both sides are cut into time buckets of within_ms, so no window spans the
-    series and a left row meets its own bucket and the one before."""
-    size = F.lit(within_ms)
+    """An extension: the last right row at or before each left time, no older than within_ms.
+
+    Both sides are put in one order within time buckets of within_ms, each bucket with the right rows of the one before, and the last right row is carried
+    forward: the work grows with the rows of a bucket, however dense it is."""
+    bucket = F.floor(F.col("ts_ms") / within_ms)
     cell = F.struct(F.col("ts_ms").alias("r_ms"), *[F.col(c).alias(f"r_{c}") for c in columns])
-    r = right.select("instrument", F.explode(F.array(F.floor(F.col("ts_ms") / size), F.floor(F.col("ts_ms") / size) + 1)).alias("_bucket"), cell.alias("_r"))
-    keyed = left.withColumn("_bucket", F.floor(F.col("ts_ms") / size))
-    met = keyed.join(r, ["instrument", "_bucket"]).where((F.col("_r.r_ms") <= F.col("ts_ms")) & (F.col("_r.r_ms") > F.col("ts_ms") - size))
-    best = met.groupBy("instrument", "ts_ms").agg(F.max_by("_r", F.col("_r.r_ms")).alias("_r"))
-    return left.join(best, ["instrument", "ts_ms"], "left").select(*left.columns, "_r.*")
+    r = right.select("instrument", "ts_ms", F.explode(F.array(bucket, bucket + 1)).alias("_bucket"), F.lit(0).alias("_side"), cell.alias("_r"))
+    rows = left.select("instrument", "ts_ms", bucket.alias("_bucket"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row")).unionByName(r, allowMissingColumns=True)
+    upto = Window.partitionBy("instrument", "_bucket").orderBy("ts_ms", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    carried = rows.withColumn("_found", F.last("_r", ignorenulls=True).over(upto)).where("_side = 1")
+    found = F.when(F.col("_found.r_ms") > F.col("ts_ms") - within_ms, F.col("_found"))
+    return carried.select("_row.*", found.alias("_found")).select(*left.columns, "_found.*")

@@ -49,6 +49,12 @@ def flat_summary(runs: DataFrame, closed_from: int) -> DataFrame:
     return with_year(runs).groupBy("year").agg(F.count("*").alias("n_rows"), F.count_if(long).alias("n_closed"), (100.0 * F.avg(long.cast("double"))).alias("closed_pct"), F.count_if(~long).alias("n_active"), F.count_if(F.col("run_length") >= 2).alias("n_flat2"))
 
 
+def flat_and_still(runs: DataFrame, deviation: str, least: int) -> DataFrame:
+    """Per year the rows in flat runs of this length and more, those whose deviation is 0, and those of both kinds."""
+    flat, still = F.col("run_length") >= least, F.col(deviation) == 0
+    return with_year(runs).groupBy("year").agg(F.count("*").alias("n_rows"), F.count_if(flat).alias("n_flat"), F.count_if(still).alias("n_still"), F.count_if(flat & still).alias("n_both"))
+
+
 def reason_counts(rows: DataFrame) -> DataFrame:
     """Per year the rows of each reason."""
     return with_year(rows).groupBy("year", "reason").agg(F.count("*").alias("n"))

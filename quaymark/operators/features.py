@@ -18,7 +18,7 @@ class Rolling:
     """Window expressions within (instrument, bucket, seg), full windows only. Without segmented, windows cross gaps."""
 
     def __init__(self, segmented: bool = True):
-        keys = ["instrument", "bucket", "seg"] if segmented else ["instrument"]
+        keys = ["instrument", "bucket", "seg"] if segmented else ["instrument", "bucket"]
         self.w = Window.partitionBy(*keys).orderBy("ts_ms")
 
     def lag(self, x: Column | str, n: int) -> Column:

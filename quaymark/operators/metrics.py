@@ -60,25 +60,52 @@ def classification(rows: DataFrame, labels: Sequence[int], by: Sequence[str] = (
     return rows.groupBy(*by).agg(*[v.alias(k) for k, v in out.items()])
 
 
+def class_shares(rows: DataFrame, called: str, by: Sequence[str] = ()) -> DataFrame:
+    """The number of rows of each called class, and its percentage of the group."""
+    counts = rows.groupBy(*by, called).agg(F.count("*").alias("n"))
+    return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*(by or [F.lit(0)]))))
+
+
 def coverage(rows: DataFrame, flat: int = 1, by: Sequence[str] = ()) -> DataFrame:
     called = F.col("p") != flat
     return rows.groupBy(*by).agg(F.avg(called.cast("double")).alias("coverage"), F.avg(F.when(called & (F.col("y") != flat), (F.col("y") == F.col("p")).cast("double"))).alias("direction"))
 
 
+#: Ranges into which the scores of a group are cut.
+RANGES = 512
+
+
+def _ranged(counts: DataFrame, by: Sequence[str], sums: Sequence[str], downwards: bool = False) -> DataFrame:
+    """Adds, to rows of distinct scores p, the sums over all scores below (or above) in the same group, as <name>_before.
+
+    A group's scores are cut into RANGES of equal width between its least and greatest; the ranges' sums are added up in order, and within a range the scores'.
+    So no window runs over all scores of a group.
+    """
+    order = F.desc if downwards else F.asc
+    edges = counts.groupBy(*by).agg(F.min("p").alias("_low"), F.max("p").alias("_high"))
+    both = counts.join(F.broadcast(edges), list(by)) if by else counts.join(F.broadcast(edges))
+    place = F.floor((F.col("p") - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES)
+    cut = both.withColumn("_range", F.when(F.col("_high") > F.col("_low"), place).otherwise(0).cast("int")).drop("_low", "_high")
+    ahead = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    totals = totals.select(*by, "_range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "_range").orderBy(order("p")).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(totals, [*by, "_range"])
+    return out.withColumns({f"{c}_before": F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).drop("_range", *[f"_{c}" for c in sums])
+
+
 def roc_auc(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mann-Whitney with mid-ranks for ties, from counts per distinct score: the window runs over scores, pre-aggregated, not over rows."""
+    """Mann-Whitney with mid-ranks for ties, from counts per distinct score."""
     counts = rows.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    below = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(0)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
-    return counts.withColumn("_won", won).groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    won = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
+    return _ranged(counts, by, ["neg"]).withColumn("_won", won).groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
 def average_precision(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The step sum of precision times the gain of recall, over distinct scores from the highest."""
     counts = rows.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count("*").alias("n"))
-    upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    step = F.col("pos") * F.sum("pos").over(upto) / F.sum("n").over(upto)
-    return counts.withColumn("_s", step).groupBy(*by).agg(F.try_divide(F.sum("_s"), F.sum("pos")).alias("average_precision"))
+    step = F.col("pos") * (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
+    return _ranged(counts, by, ["pos", "n"], downwards=True).withColumn("_s", step).groupBy(*by).agg(F.try_divide(F.sum("_s"), F.sum("pos")).alias("average_precision"))
 
 
 def brier(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

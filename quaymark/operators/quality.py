@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quaymark.functions.columns import OHLC, aligned, all_finite, any_null, flat_candle, positive_prices, valid_ohlc
 
+from .segments import BUCKET_BARS, with_bucket, with_previous
+
 
 def canonical(bars: DataFrame, step_ms: int) -> DataFrame:
     """Aligned, valid, positive bars; flat bars and duplicate times stay."""
@@ -26,14 +28,18 @@ def guard_strict(bars: DataFrame) -> DataFrame:
     return bars.withColumn("_n", F.count("*").over(w)).where(once).drop("_n")
 
 
-def with_gaps(rows: DataFrame, by: list[str], order: list[str], ts: str = "ts_ms") -> DataFrame:
-    """Adds gap: the step from the row before, in the given order."""
-    return rows.withColumn("gap", F.col(ts) - F.lag(ts).over(Window.partitionBy(*by).orderBy(*order)))
+def with_gaps(rows: DataFrame, by: list[str], order: list[str], ts: str = "ts_ms", step_ms: int = 60_000, bucket_bars: int = BUCKET_BARS) -> DataFrame:
+    """Adds gap: the step from the row before, in the given order. In an order by time, a series is cut into buckets of bucket_bars steps; only an order of
+    another kind (that of a file) is one window for each group."""
+    if order[0] != ts:
+        return rows.withColumn("gap", F.col(ts) - F.lag(ts).over(Window.partitionBy(*by).orderBy(*order)))
+    before = with_previous(with_bucket(rows, bucket_bars * step_ms, ts), ts, "_before", by, order)
+    return before.withColumn("gap", F.col(ts) - F.col("_before")).select(*rows.columns, "gap")
 
 
 def audit(rows: DataFrame, step_ms: int, by: list[str], order: list[str]) -> DataFrame:
     """Counters of each group in one pass over rows in the given order; gaps and flat bars alone don't fail it."""
-    gaps = with_gaps(rows, by, order)
+    gaps = with_gaps(rows, by, order, step_ms=step_ms)
     counts = {
         "n_rows": F.lit(True), "n_missing": any_null("ts_ms", *OHLC), "n_backward": F.col("gap") <= 0, "n_not_positive": ~positive_prices(), "n_invalid": ~valid_ohlc(),
         "n_gaps": F.col("gap") > step_ms, "n_flat": flat_candle(), "n_unaligned": ~aligned(step_ms), "n_not_finite": ~all_finite(*OHLC),
@@ -44,23 +50,46 @@ def audit(rows: DataFrame, step_ms: int, by: list[str], order: list[str]) -> Dat
 
 
 def interval_classes(bars: DataFrame, step_ms: int) -> DataFrame:
-    gaps = with_gaps(bars, ["instrument"], ["ts_ms"]).where("gap is not null")
+    gaps = with_gaps(bars, ["instrument"], ["ts_ms"], step_ms=step_ms).where("gap is not null")
     return gaps.groupBy("instrument").agg(F.count_if(F.col("gap") == step_ms).alias("n_exact"), F.count_if(F.col("gap") > step_ms).alias("n_longer"), F.count_if(F.col("gap") < step_ms).alias("n_shorter"), F.max("gap").alias("longest"))
 
 
 def longest_gaps(bars: DataFrame, step_ms: int, k: int = 20) -> DataFrame:
     """The k longest gaps of all, with the times before and after."""
-    gaps = with_gaps(bars, ["instrument"], ["ts_ms"]).where(F.col("gap") > step_ms)
+    gaps = with_gaps(bars, ["instrument"], ["ts_ms"], step_ms=step_ms).where(F.col("gap") > step_ms)
     return gaps.orderBy(F.desc("gap"), "instrument", "ts_ms").limit(k).select("instrument", (F.col("ts_ms") - F.col("gap")).alias("before_ms"), F.col("ts_ms").alias("after_ms"), "gap")
 
 
 def overlaps(spans: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of (name, start_ms, end_ms) rows that overlap. Spans are few, one for each file."""
-    a = spans.select(F.col("name").alias("a"), F.col("start_ms").alias("sa"), F.col("end_ms").alias("ea"))
-    b = spans.select(F.col("name").alias("b"), F.col("start_ms").alias("sb"), F.col("end_ms").alias("eb"))
-    return a.join(b, (F.col("a") < F.col("b")) & (F.col("sa") <= F.col("eb")) & (F.col("sb") <= F.col("ea"))).select("a", "b", (F.least("ea", "eb") - F.greatest("sa", "sb")).alias("overlap_ms"))
+    """Pairs (a, b), a < b, of (name, start_ms, end_ms) rows that overlap, each once.
+
+    Time is cut into cells as long as the longest span, so a span is in two cells at most, and only spans of one cell are joined; a pair is told in the
+    first cell that both are in."""
+    width = spans.agg(F.greatest(F.max(F.col("end_ms") - F.col("start_ms")), F.lit(1)).alias("width"))
+    first, last = F.floor(F.col("start_ms") / F.col("width")), F.floor(F.col("end_ms") / F.col("width"))
+    cut = spans.join(F.broadcast(width)).select("name", "start_ms", "end_ms", first.alias("first"), F.explode(F.sequence(first, last)).alias("cell"))
+    side = lambda x: cut.select("cell", F.col("name").alias(x), F.col("start_ms").alias(f"s{x}"), F.col("end_ms").alias(f"e{x}"), F.col("first").alias(f"f{x}"))
+    met = side("a").join(side("b"), "cell").where((F.col("a") < F.col("b")) & (F.col("sa") <= F.col("eb")) & (F.col("sb") <= F.col("ea")) & (F.col("cell") == F.greatest("fa", "fb")))
+    return met.select("a", "b", (F.least("ea", "eb") - F.greatest("sa", "sb")).alias("overlap_ms"))
+
+
+def feature_audit(rows: DataFrame, features: list[str], by: list[str], step_ms: int) -> DataFrame:
+    """One row for each group of a feature table: its rows, incomplete ones, null, NaN and infinite values, backward steps and duplicate times, and whether it
+    passes (no NaN, infinity, backward step or duplicate; null marks a warm-up and is allowed)."""
+    gaps = with_gaps(rows, by, ["ts_ms"], step_ms=step_ms)
+    total = lambda f: sum((F.count_if(f(F.col(c))) for c in features), F.lit(0))
+    nulls = [F.col(c).isNull() for c in features]
+    some_null = nulls[0]
+    for x in nulls[1:]:
+        some_null |= x
+    out = gaps.groupBy(*by).agg(
+        F.count("*").alias("n_rows"), F.count_if(some_null).alias("n_incomplete"), total(lambda c: c.isNull()).alias("n_null"), total(F.isnan).alias("n_nan"), total(lambda c: F.abs(c) == float("inf")).alias("n_infinite"),
+        F.count_if(F.col("gap") < 0).alias("n_backward"), F.count_if(F.col("gap") == 0).alias("n_duplicates"), F.count_if(F.col("gap") > step_ms).alias("n_gaps"),
+    )
+    return out.withColumn("passed", F.col("n_nan") + F.col("n_infinite") + F.col("n_backward") + F.col("n_duplicates") == 0)
 
 
 def boundary_gaps(spans: DataFrame) -> DataFrame:
+    """Each span with the next one and the gap between. Spans are few, one for each file, so they are one window."""
     w = Window.orderBy("start_ms", "name")
     return spans.select("name", F.lead("name").over(w).alias("next_name"), (F.lead("start_ms").over(w) - F.col("end_ms")).alias("gap_ms")).where("next_name is not null")

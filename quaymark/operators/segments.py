@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,18 @@ def in_buckets(bars: DataFrame, step_ms: int, back: int, ahead: int = 0, bucket_
     return bars.withColumn("_place", F.explode(F.array_compact(F.array(*places)))).select(*bars.columns, "_place.bucket", "_place.own")
 
 
+def in_row_buckets(bars: DataFrame, back: int, span_ms: int, bucket_rows: int = BUCKET_BARS) -> DataFrame:
+    """Adds bucket and own, as in_buckets(), for windows over so many rows back that cross gaps: buckets of bucket_rows rows, and the last rows of each once more
+    in the next. Rows are numbered in time spans, whose counts are summed up in order."""
+    if back > bucket_rows:
+        raise ValueError("a halo must fit into a bucket")
+    numbered = number_starts(with_bucket(bars, span_ms), F.lit(True), "_n")
+    bucket, offset = F.floor((F.col("_n") - 1) / bucket_rows), (F.col("_n") - 1) % bucket_rows
+    own = F.struct(bucket.alias("bucket"), F.lit(True).alias("own"))
+    next_one = F.when(offset >= bucket_rows - back, F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own")))
+    return numbered.withColumn("_place", F.explode(F.array_compact(F.array(own, next_one)))).select(*bars.columns, "_place.bucket", "_place.own")
+
+
 def local_segments(bucketed: DataFrame, step_ms: int) -> DataFrame:
     """Adds seg: the running number of gaps within the bucket, enough to keep windows inside segments."""
     w = Window.partitionBy("instrument", "bucket").orderBy("ts_ms")
@@ -34,14 +48,27 @@ def local_segments(bucketed: DataFrame, step_ms: int) -> DataFrame:
     return bucketed.withColumn("_gap", gap).withColumn("seg", F.sum("_gap").over(w)).drop("_gap")
 
 
-def number_starts(rows: DataFrame, starts, name: str) -> DataFrame:
+def with_bucket(rows: DataFrame, span_ms: int, ts: str = "ts_ms") -> DataFrame:
+    """Adds bucket, the number of the time span; rows without a time are in one of their own before all others."""
+    return rows.withColumn("bucket", F.coalesce(F.floor(F.col(ts) / span_ms), F.lit(-(1 << 62))))
+
+
+def with_previous(rows: DataFrame, column: str, name: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds name: the column's value in the row before. Needs bucket, which the order has to follow; only each bucket's last value goes from bucket to bucket."""
+    w = Window.partitionBy(*by, "bucket").orderBy(*order)
+    last = rows.groupBy(*by, "bucket").agg(F.max_by(F.struct(column), F.struct(*order)).alias("_last"))
+    carried = last.select(*by, "bucket", F.lag("_last").over(Window.partitionBy(*by).orderBy("bucket")).alias("_carried"))
+    return rows.join(carried, [*by, "bucket"]).withColumn(name, F.coalesce(F.lag(F.struct(column)).over(w), F.col("_carried"))[column]).drop("_carried")
+
+
+def number_starts(rows: DataFrame, starts, name: str, by: Sequence[str] = ("instrument",)) -> DataFrame:
     """Adds name: the running number (from 1) of rows of the instrument where starts holds. Needs bucket; only the buckets' counts are summed up in order."""
-    w = Window.partitionBy("instrument", "bucket").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, "bucket").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
     counted = rows.withColumn("_start", starts.cast("int"))
-    sums = counted.groupBy("instrument", "bucket").agg(F.sum("_start").alias("_n"))
-    before = Window.partitionBy("instrument").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("instrument", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_sum_before"))
-    out = counted.join(sums, ["instrument", "bucket"]).withColumn(name, F.col("_sum_before") + F.sum("_start").over(w))
+    sums = counted.groupBy(*by, "bucket").agg(F.sum("_start").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_sum_before"))
+    out = counted.join(sums, [*by, "bucket"]).withColumn(name, F.col("_sum_before") + F.sum("_start").over(w))
     return out.drop("_start", "_sum_before")
 
 

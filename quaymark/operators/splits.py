@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import BUCKET_BARS, number_starts, with_bucket
+
 MINUTE = 60_000
 
 
@@ -40,17 +42,17 @@ def purged(parts: DataFrame, label_end: Column | None = None, minutes: int | Non
     return parts.where((F.col("part") == "valid") | keep)
 
 
-def strided(rows: DataFrame, k: int, where: Column | None = None, filter_first: bool = True, by: Sequence[str] = ("instrument",)) -> DataFrame:
-    """Every k-th row in time, numbered after the filter or before it."""
+def strided(rows: DataFrame, k: int, where: Column | None = None, filter_first: bool = True, by: Sequence[str] = ("instrument",), span_ms: int = BUCKET_BARS * MINUTE) -> DataFrame:
+    """Every k-th row in time, numbered after the filter or before it. Rows are numbered in time spans, whose counts are summed up in order."""
     if where is not None and filter_first:
         rows = rows.where(where)
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("ts_ms")) - 1).where(F.col("_n") % k == 0).drop("_n")
+    numbered = number_starts(with_bucket(rows, span_ms), F.lit(True), "_n", by).where((F.col("_n") - 1) % k == 0).select(*rows.columns)
     return numbered.where(where) if where is not None and not filter_first else numbered
 
 
 def hash_sample(rows: DataFrame, share: float, seed: int = 42, key: str = "ts_ms") -> DataFrame:
     """A random sample without replacement that depends on the keys alone, not on the partitioning."""
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return rows.where(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") < int(share * (1 << 32)))
 
 
 def split_counts(rows: DataFrame, train_end: int, valid_end: int, test_end: int) -> DataFrame:
@@ -70,6 +72,19 @@ def nested(inner: DataFrame, outer: DataFrame, by: Sequence[str], choices: Seque
     return outer.join(best, [*by, *choices])
 
 
+def enough_trades(grid: DataFrame, unfiltered: DataFrame, by: Sequence[str], least_share: float = 0.01, trades: str = "trades") -> DataFrame:
+    """The rows of the grid that have this share, at least, of the trades of the unfiltered row of the same group."""
+    most = unfiltered.select(*by, F.col(trades).alias("_all"))
+    return grid.join(most, list(by)).where(F.col(trades) >= least_share * F.col("_all")).drop("_all")
+
+
+def selected_or_fallback(grid: DataFrame, by: Sequence[str], order: Sequence[Column], eligible: Column, value: str, fallback: float) -> DataFrame:
+    """selected(), and in groups without an eligible row the row nearest to the fallback value; chosen tells which."""
+    best = selected(grid, by, order, eligible).withColumn("chosen", F.lit("best"))
+    rest = nearest(grid, by, value, fallback).join(best.select(*by), list(by), "left_anti").withColumn("chosen", F.lit("fallback"))
+    return best.unionByName(rest)
+
+
 def nearest(grid: DataFrame, by: Sequence[str], value: str, aim: float) -> DataFrame:
     """The fallback: the row of each group whose value is nearest to aim, the smaller at a tie."""
     return selected(grid, by, [F.abs(F.col(value) - aim), F.col(value)])

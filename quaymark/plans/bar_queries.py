@@ -341,7 +341,8 @@ def _(spark, d):
 @query("w15_unsegmented", with_bars("m1", f'SELECT instrument, ts_ms, {_CLOSE} / nullif(lag({_CLOSE}, 5) OVER w, 0) - 1 AS return_5, CASE WHEN count(*) OVER v = 15 THEN avg({_CLOSE}) OVER v END AS sma_15 FROM b WINDOW w AS (PARTITION BY instrument ORDER BY ts_ms), v AS (PARTITION BY instrument ORDER BY ts_ms ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)'), "return_5 sma_15")
 def _(spark, d):
     r = features.Rolling(segmented=False)
-    return sub.minute_bars(spark, d).select("instrument", "ts_ms", C.change(F.col("close"), r.lag("close", 5)).alias("return_5"), r.mean("close", 15).alias("sma_15"))
+    rows = segments.in_row_buckets(sub.minute_bars(spark, d), 15, segments.BUCKET_BARS * MINUTE)
+    return rows.select("instrument", "ts_ms", "own", C.change(F.col("close"), r.lag("close", 5)).alias("return_5"), r.mean("close", 15).alias("sma_15")).where("own").drop("own")
 
 
 # targets and labels

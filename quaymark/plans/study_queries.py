@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaymark.functions import columns as C
-from quaymark.operators import align, barriers, diagnostics, features, metrics, ml, segments, simulate, splits
+from quaymark.operators import align, barriers, diagnostics, features, metrics, ml, quality, segments, simulate, splits
 from quaymark.operators.features import FEATURES
 from quaymark.sources import tables as src
 from quaymark.streaming import bars as streaming
@@ -57,11 +57,15 @@ def _(spark, d):
     return align.alignment(sub.hour_bars(spark, d), labels, ["instrument", "ts_ms"])
 
 
-@query("j10_reverified", with_bars("h1", "SELECT count(*) AS n_compared, 0::BIGINT AS n_missing, 0::BIGINT AS n_mismatched, 0.0::DOUBLE AS max_difference FROM f WHERE future_return_15m IS NOT NULL", *feature_ctes(HOUR)), "max_difference")
+@query("j10_reverified", with_bars("h1", f"""SELECT count(official) AS n_compared, count(*) - count(official) AS n_missing, count(*) FILTER (abs(future_return_15m - official) > 1e-12::DOUBLE) AS n_mismatched, max(abs(future_return_15m - official)) AS max_difference
+ FROM (SELECT *, CASE WHEN ts_ms % {7 * HOUR} <> 0 THEN future_return_15m + CASE WHEN ts_ms % {5 * HOUR} = 0 THEN 0.25::DOUBLE ELSE 0 END END AS official FROM f WHERE future_return_15m IS NOT NULL)""", *feature_ctes(HOUR)), "max_difference")
 def _(spark, d):
+    """The official values lack every seventh hour and are off in every fifth."""
     bars = sub.hour_bars(spark, d)
     windowed = features.windows(bars, HOUR, lambda r: features.future_returns(r, HOUR, (15,)), 0, 15).dropna(subset=["future_return_15m"])
-    return align.reverified(windowed, align.forward_by_time(bars, HOUR, 15), ["instrument", "ts_ms"], "future_return_15m")
+    official = align.forward_by_time(bars, HOUR, 15).where(F.col("ts_ms") % (7 * HOUR) != 0)
+    off = F.when(F.col("ts_ms") % (5 * HOUR) == 0, 0.25).otherwise(0.0)
+    return align.reverified(windowed, official.withColumn("future_return_15m", F.col("future_return_15m") + off), ["instrument", "ts_ms"], "future_return_15m")
 
 
 @query("j11_forward_by_time", with_bars("m1", 'SELECT b.instrument, b.ts_ms, x."close" / nullif(b."close", 0) - 1 AS future_return_5m FROM b JOIN b x ON x.instrument = b.instrument AND x.ts_ms = b.ts_ms + 300000'), "future_return_5m")
@@ -111,7 +115,7 @@ def _(spark, d):
     return splits.strided(sub.hour_bars(spark, d), 5, F.col("close") > 50, filter_first=False).select("instrument", "ts_ms")
 
 
-@query("t11_hash_sample")
+@query("t11_hash_sample", with_bars("m1", f"SELECT instrument, ts_ms FROM b WHERE CAST('0x' || substr(md5('42:' || ts_ms), 1, 8) AS BIGINT) < {int(0.1 * (1 << 32))}"))
 def _(spark, d):
     return splits.hash_sample(sub.minute_bars(spark, d), 0.1).select("instrument", "ts_ms")
 
@@ -364,8 +368,10 @@ _FEW = ["return_1m", "return_5m", "distance_sma_15", "distance_sma_60", "volatil
 
 @query("m01_boosted_regression")
 def _(spark, d):
+    """Boosting stops when the last seventh of the training rows gets no better."""
     train, valid = _train_parts(spark, d)
-    model = ml.boosted_regression(train, _FEW, "future_return_5m", 10)
+    edge = train.agg(F.expr("percentile_approx(ts_ms, 0.85)")).first()[0]
+    model = ml.boosted_regression(train.withColumn("held", F.col("ts_ms") > edge), _FEW, "future_return_5m", 10, "held")
     return metrics.regression(ml.predicted(model, valid).withColumn("y", F.col("future_return_5m")))
 
 
@@ -491,7 +497,12 @@ def _(spark, d):
     return splits.nearest(_grid(spark, d), ["instrument", "cost_bps"], "threshold", 0.4).select("instrument", "cost_bps", "threshold", "trades")
 
 
-@query("g07_nested_halves")
+_HALF = "CAST(day(make_timestamp(ts_ms * 1000)) > 15 AS INT) AS half"
+_HALVES_SQL = _recursive(with_bars("ht", _equity_sql(_SMALL.replace("SELECT instrument,", f"SELECT {_HALF}, instrument,"), ["instrument", "threshold", "half", "cost_bps"]), *feature_ctes(HOUR), _SCORES, _walk_sql(_SIGNALS, ["instrument", "threshold"])))
+
+
+@query("g07_nested_halves", f"""SELECT o.* FROM ({_HALVES_SQL}) o JOIN (SELECT instrument, threshold FROM ({_HALVES_SQL}) WHERE half = 0 AND cost_bps = 2 AND trades >= 5
+ QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY compound_return DESC, profit_factor DESC, trades DESC) = 1) USING (instrument, threshold) WHERE half = 1""", "threshold cost_bps " + _STATS)
 def _(spark, d):
     """Thresholds that are best on the first half of the month, with their results on the second half at every cost."""
     trades = _trades(spark, d).withColumn("gross", F.col("gross") * 0.01).withColumn("half", (F.dayofmonth(C.at()) > 15).cast("int"))
@@ -505,3 +516,69 @@ def _(spark, d):
     aucs = metrics.feature_auc(_labelled(spark, d), _PICKED, ["instrument"])
     out = aucs.groupBy("feature").agg(F.avg("advantage").alias("mean"), F.stddev_samp("advantage").alias("std"), F.min("advantage").alias("min"), F.max("advantage").alias("max"))
     return out.orderBy(F.desc("mean"), "std", "feature").limit(10)
+
+
+# reports over years, and audits of feature tables
+_AUDITED = ["return_1m", "return_5m", "body_range_ratio", "distance_sma_15", "volatility_15m"]
+def _with_targets(bars, step):
+    """Every bar with its features and target, complete or not."""
+    rows = features.with_features(segments.local_segments(segments.in_buckets(bars, step, 480, 60), step)).withColumns(features.future_returns(features.Rolling(), step, (5,)))
+    return rows.where("own")
+
+
+_CELLS = [f'"{c}"' for c in _AUDITED]
+
+
+@query("p21_feature_audit", with_bars("ht", f"""SELECT instrument, count(*) AS n_rows, count(*) FILTER ({" OR ".join(f"{c} IS NULL" for c in _CELLS)}) AS n_incomplete, {" + ".join(f"count(*) FILTER ({c} IS NULL)" for c in _CELLS)} AS n_null,
+ {" + ".join(f"count(*) FILTER (isnan({c}))" for c in _CELLS)} AS n_nan, {" + ".join(f"count(*) FILTER (isinf({c}))" for c in _CELLS)} AS n_infinite, count(*) FILTER (gap < 0) AS n_backward, count(*) FILTER (gap = 0) AS n_duplicates, count(*) FILTER (gap > {HOUR}) AS n_gaps,
+ {" + ".join(f"count(*) FILTER (isnan({c}) OR isinf({c}))" for c in _CELLS)} + count(*) FILTER (gap <= 0) = 0 AS passed FROM (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY instrument ORDER BY ts_ms) AS gap FROM f) GROUP BY 1""", *feature_ctes(HOUR)))
+def _(spark, d):
+    return quality.feature_audit(_with_targets(sub.hour_bars_by_type(spark, d), HOUR), _AUDITED, ["instrument"], HOUR)
+
+
+@query("a14_class_shares", _score_sql("SELECT instrument, called, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY instrument) AS pct FROM sc GROUP BY 1, 2"), "pct")
+def _(spark, d):
+    return metrics.class_shares(_scores(spark, d), "called", ["instrument"])
+
+
+@query("g08_enough_trades", f"SELECT g.instrument, g.cost_bps, g.threshold, g.trades FROM ({_GRID_SQL}) g JOIN (SELECT instrument, cost_bps, trades AS most FROM ({_GRID_SQL}) WHERE threshold = 0.2::DOUBLE) a USING (instrument, cost_bps) WHERE g.trades >= 0.3::DOUBLE * most", "cost_bps threshold")
+def _(spark, d):
+    grid = _grid(spark, d)
+    return splits.enough_trades(grid, grid.where("threshold = 0.2D"), ["instrument", "cost_bps"], 0.3).select("instrument", "cost_bps", "threshold", "trades")
+
+
+@query("a07_flat_runs_and_volatility", with_bars("hq", f"""SELECT {_YEAR} AS year, count(*) AS n_rows, count(*) FILTER (run_length >= 3) AS n_flat, count(*) FILTER (sd = 0) AS n_still, count(*) FILTER (run_length >= 3 AND sd = 0) AS n_both FROM (SELECT *, count(*) OVER (PARTITION BY instrument, run) AS run_length FROM
+ (SELECT *, sum(fresh) OVER (PARTITION BY instrument ORDER BY ts_ms) AS run, CASE WHEN count(*) OVER w3 = 3 THEN stddev_samp("close") OVER w3 END AS sd FROM (SELECT *, CASE WHEN "close" = lag("close") OVER w AND segment = lag(segment) OVER w THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY instrument ORDER BY ts_ms))
+ WINDOW w3 AS (PARTITION BY instrument, segment ORDER BY ts_ms ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))) GROUP BY 1""", seg(HOUR)))
+def _(spark, d):
+    runs = segments.flat_runs(sub.coarse_hour_bars(spark, d), HOUR)
+    still = features.windows(sub.coarse_hour_bars(spark, d), HOUR, lambda r: {"deviation": r.std("close", 3)}, 3).select("instrument", "ts_ms", "deviation")
+    return diagnostics.flat_and_still(runs.join(still, ["instrument", "ts_ms"], "left"), "deviation", 3)
+
+
+@query("r06_stream_sessions", """SELECT event_type, min(t) // 1000 AS start_ms, (max(t) + 7200000000) // 1000 AS end_ms, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY t, event_id) AS k FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY event_type ORDER BY t, event_id) < 7200000000 THEN 0 ELSE 1 END AS fresh
+ FROM (SELECT event_type, epoch_us(ts) AS t, event_id FROM events))) GROUP BY event_type, k""")
+def _(spark, d):
+    """Sessions of a stream that the watermark has closed, and at the end of the stream those that it still held back."""
+    place, events = src.shared_folder(spark, "sessions"), src.table(spark, d, "events")
+    stream = streaming.read_events(spark, f"{d}/events[.]parquet", events.schema)
+    streaming.run_available(streaming.stream_sessions(stream, "2 hours", "event_type"), f"{place}/out", f"{place}/checkpoint")
+    return streaming.flushed(spark.read.parquet(f"{place}/out"), events, "2 hours", "event_type")
+
+
+@query("a04_mean_barrier", with_bars("d1", "SELECT multiplier, avg(width) * 10000 AS mean_barrier_bps FROM t WHERE label IN (0, 1, 2) GROUP BY 1", *dynamic_ctes(DAY)), "multiplier mean_barrier_bps")
+def _(spark, d):
+    return barriers.dynamic_barrier(sub.day_bars(spark, d), DAY, (0.1, 0.25)).where("label in (0, 1, 2)").groupBy("multiplier").agg((F.avg("width") * 10000).alias("mean_barrier_bps"))
+
+
+def _yearly_auc_sql() -> str:
+    cells = " UNION ALL ".join(f"SELECT {_YEAR} AS year, '{c}' AS feature, {c} AS p, CAST(future_return_5m > 0 AS INT) AS up FROM f WHERE future_return_5m IS NOT NULL AND {c} IS NOT NULL" for c in _AUDITED)
+    return with_bars("d1", """SELECT year, feature, auc, abs(auc - 0.5) AS advantage, CASE WHEN auc >= 0.5 THEN 1 ELSE -1 END AS sign FROM (SELECT year, feature, (sum(CASE WHEN up = 1 THEN r END) - n1 * (n1 + 1) / 2.0::DOUBLE) / (n1 * n0) AS auc, n1, n0 FROM
+ (SELECT *, count(*) FILTER (up = 1) OVER (PARTITION BY year, feature) AS n1, count(*) FILTER (up = 0) OVER (PARTITION BY year, feature) AS n0, rank() OVER (PARTITION BY year, feature ORDER BY p) + (count(*) OVER (PARTITION BY year, feature, p) - 1) / 2.0::DOUBLE AS r FROM lg) GROUP BY year, feature, n1, n0)
+ WHERE n1 + n0 >= 50 AND n1 > 0 AND n0 > 0""", *feature_ctes(DAY), f"lg AS ({cells})")
+
+
+@query("m07_yearly_feature_auc", _yearly_auc_sql(), "auc advantage")
+def _(spark, d):
+    rows = diagnostics.with_year(_with_targets(sub.day_bars(spark, d), DAY)).dropna(subset=["future_return_5m"]).withColumn("y", (F.col("future_return_5m") > 0).cast("int"))
+    return metrics.feature_auc(rows, _AUDITED, ["year"], 50).select("year", "feature", "auc", "advantage", "sign")

@@ -72,22 +72,27 @@ def coerced(df: DataFrame, columns: Sequence[str], kind: str = "double") -> Data
 
 def detect_epoch_ms(df: DataFrame, column: str) -> DataFrame:
     """The column in epoch milliseconds, its unit told by the median's size, as one aggregate that is joined as a single row."""
-    unit = df.agg(epoch_unit(F.expr(f"percentile(abs({column}), 0.5)")).alias("_unit"))
+    unit = df.agg(epoch_unit(F.expr(f"percentile_approx(abs({column}), 0.5)")).alias("_unit"))
     return df.crossJoin(F.broadcast(unit)).withColumn(column, to_ms(F.col(column), F.col("_unit"))).drop("_unit")
 
 
 def parse_times(df: DataFrame, column: str) -> DataFrame:
     """Text that is mostly (over 99 %) numbers is epoch time, else date text; the result is epoch milliseconds, NULL where it can't be read."""
     number = F.expr(f"try_cast({column} as double)")
-    facts = df.agg(F.avg(number.isNotNull().cast("double")).alias("_share"), epoch_unit(F.expr(f"percentile(abs(try_cast({column} as double)), 0.5)")).alias("_unit"))
+    facts = df.agg(F.avg(number.isNotNull().cast("double")).alias("_share"), epoch_unit(F.expr(f"percentile_approx(abs(try_cast({column} as double)), 0.5)")).alias("_unit"))
     stamp = F.unix_millis(F.expr(f"try_to_timestamp({column})"))
     parsed = F.when(F.col("_share") > 0.99, to_ms(number, F.col("_unit"))).otherwise(stamp)
     return df.crossJoin(F.broadcast(facts)).withColumn(column, parsed).drop("_share", "_unit")
 
 
-def write_report(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Replaces what is at the path, as one committed job."""
-    writer = df.write.mode("overwrite")
+def read_typed_bars(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """CSV files of bars whose columns are those of BAR_SCHEMA: numbers from the scan on, NULL where a field is none."""
+    return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(BAR_SCHEMA).csv(paths)
+
+
+def write_report(df: DataFrame, path: str, form: str = "parquet", append: bool = False) -> None:
+    """Replaces what is at the path, or adds to it, as one committed job."""
+    writer = df.write.mode("append" if append else "overwrite")
     writer.option("header", True).csv(path) if form == "csv" else writer.format(form).save(path)
 
 

@@ -18,10 +18,22 @@ def stream_bars(events: DataFrame, step: str, late: str = "10 minutes", ts: str
     return out.select(F.unix_millis("w.start").alias("ts_ms"), "open", "high", "low", "close")
 
 
-def stream_sessions(events: DataFrame, gap: str, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """Runs of events without a gap: start, end and number."""
+def stream_sessions(events: DataFrame, gap: str, by: str, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
+    """Runs of events of the same key without a gap: key, start, end and number. A session is emitted once, when the watermark has passed its end."""
     timed = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
-    return timed.groupBy(F.session_window("_t", gap).alias("w")).agg(F.count("*").alias("n")).select(F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"), "n")
+    return _sessions(timed, gap, by)
+
+
+def _sessions(timed: DataFrame, gap: str, by: str) -> DataFrame:
+    counted = timed.groupBy(F.session_window("_t", gap).alias("w"), by).agg(F.count("*").alias("n"))
+    return counted.select(by, F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"), "n")
+
+
+def flushed(emitted: DataFrame, events: DataFrame, gap: str, by: str, ts: str = "ts") -> DataFrame:
+    """At the end of a stream: the sessions that it emitted, and those that the watermark still holds back, from each key's events after its last emitted one."""
+    last = emitted.groupBy(by).agg(F.max("end_ms").alias("_last"))
+    timed = events.withColumn("_t", F.col(ts).cast("timestamp")).join(last, by, "left")
+    return emitted.unionByName(_sessions(timed.where(F.col("_last").isNull() | (F.unix_millis("_t") >= F.col("_last"))), gap, by))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:

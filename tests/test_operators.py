@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaymark.operators import align, barriers, diagnostics, features, metrics, ml, quality, segments, simulate, splits
@@ -164,3 +165,89 @@ def test_label_percentages_add_up(spark):
     df = spark.createDataFrame([(k,) for k in (0, 0, 1, 2, -1, -2, -3)], "label int")
     row = diagnostics.label_counts(df, []).first()
     assert row.n_valid == 4 and row.short_pct + row.timeout_pct + row.long_pct == pytest.approx(100)
+
+
+def _series(spark, n=400, seed=5):
+    rng = random.Random(seed)
+    times = sorted(rng.sample(range(3 * n), n))
+    return spark.createDataFrame([("ab"[i % 2], 60_000 * t, float(rng.randint(1, 9))) for i, t in enumerate(times)], "instrument string, ts_ms long, close double").repartition(5), times
+
+
+def test_buckets_give_the_same_as_one_window(spark):
+    """Gaps, strides and windows over rows, in buckets of a few steps and in one window."""
+    rows, _ = _series(spark)
+    w = Window.partitionBy("instrument").orderBy("ts_ms")
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = rows.withColumn("gap", F.col("ts_ms") - F.lag("ts_ms").over(w))
+    assert key(quality.with_gaps(rows, ["instrument"], ["ts_ms"], bucket_bars=4)) == key(want)
+    nothing = rows.unionByName(rows.limit(1).withColumn("ts_ms", F.lit(None).cast("long")))
+    assert quality.with_gaps(nothing, ["instrument"], ["ts_ms"], bucket_bars=4).where("gap is null").count() == 3
+    want = rows.withColumn("n", F.row_number().over(w) - 1).where("n % 7 = 0").drop("n")
+    assert key(splits.strided(rows, 7, span_ms=240_000)) == key(want)
+    r = features.Rolling(segmented=False)
+    cut = segments.in_row_buckets(rows, 6, 240_000, 8).withColumns({"before": r.lag("close", 5), "mean": r.mean("close", 6)}).where("own").drop("own", "bucket")
+    frame = w.rowsBetween(-5, 0)
+    want = rows.withColumns({"before": F.lag("close", 5).over(w), "mean": F.when(F.count("close").over(frame) == 6, F.avg("close").over(frame))})
+    assert key(cut.select(*want.columns)) == key(want)
+
+
+def test_scores_in_ranges_and_spans_in_cells(spark):
+    rng = random.Random(7)
+    scores = [(rng.choice([rng.gauss(0, 1), 1e9 * rng.random(), 0.5]), rng.randint(0, 1)) for _ in range(500)]
+    df = spark.createDataFrame(scores, "p double, y int")
+    pos, neg = [p for p, y in scores if y], [p for p, y in scores if not y]
+    won = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg)
+    assert metrics.roc_auc(df).first().auc == pytest.approx(won / len(pos) / len(neg))
+    steps = 0.0
+    for p in sorted({p for p, _ in scores}, reverse=True):
+        hits = sum(y for q, y in scores if q == p)
+        steps += hits * sum(y for q, y in scores if q >= p) / sum(q >= p for q, _ in scores)
+    assert metrics.average_precision(df).first().average_precision == pytest.approx(steps / len(pos))
+    spans = [(f"s{i}", s := rng.randint(0, 500), s + rng.choice([0, 3, 40])) for i in range(60)]
+    got = {(r.a, r.b): r.overlap_ms for r in quality.overlaps(spark.createDataFrame(spans, "name string, start_ms long, end_ms long")).collect()}
+    assert got == {(a, b): min(f, h) - max(e, g) for a, e, f in spans for b, g, h in spans if a < b and e <= h and g <= f}
+
+
+def test_as_of_in_dense_buckets(spark):
+    rng = random.Random(9)
+    left, right = sorted(rng.sample(range(3000), 200)), sorted(rng.sample(range(3000), 100))
+    df = lambda x: spark.createDataFrame([("a", t, float(t)) for t in x], "instrument string, ts_ms long, close double")
+    got = {r.ts_ms: r.r_ms for r in align.as_of(df(left), df(right), ["close"], 50).collect()}
+    assert got == {t: max((x for x in right if t - 50 < x <= t), default=None) for t in left}
+
+
+def test_feature_audit_fails_on_bad_values(spark):
+    rows = [("a", 0, 1.0, None), ("a", 60_000, float("nan"), 2.0), ("a", 60_000, 1.0, float("inf")), ("b", 0, 1.0, 1.0), ("b", 180_000, None, 1.0)]
+    df = spark.createDataFrame(rows, "instrument string, ts_ms long, x double, y double")
+    got = {r.instrument: r.asDict() for r in quality.feature_audit(df, ["x", "y"], ["instrument"], 60_000).collect()}
+    assert (got["a"]["n_nan"], got["a"]["n_infinite"], got["a"]["n_null"], got["a"]["n_duplicates"], got["a"]["passed"]) == (1, 1, 1, 1, False)
+    assert (got["b"]["n_incomplete"], got["b"]["n_gaps"], got["b"]["passed"]) == (1, 1, True)
+
+
+def test_models_learn_and_do_not_depend_on_the_partitioning(spark):
+    rng = random.Random(3)
+    data = [(x := rng.random(), z := rng.random(), 2 * x - z, float(x > z), float((x > 0.3) + (x > 0.7)), i % 5 == 0) for i in range(400)]
+    df = spark.createDataFrame(data, "a double, b double, y double, up double, cls double, held boolean").orderBy("a", "b")
+    once, again = df.coalesce(1), df.repartition(3, "held").sortWithinPartitions("a", "b")
+    for fit, label in ((lambda r: ml.boosted_regression(r, ["a", "b"], "y", 10, "held"), "y"), (lambda r: ml.boosted_binary(r, ["a", "b"], "up", 5), "up"), (lambda r: ml.logistic(r, ["a", "b"], "up"), "up")):
+        errors = [ml.predicted(fit(rows), df).select(F.avg(F.abs(F.col("p") - F.col(label)))).first()[0] for rows in (once, again)]
+        spread = df.select(F.avg(F.abs(F.col(label) - 0.5))).first()[0]
+        assert errors[0] < 0.6 * spread and errors[0] == pytest.approx(errors[1], abs=0.05)
+    forest = ml.predicted(ml.forest(once, ["a", "b"], "cls"), df)
+    assert forest.where("p = cls").count() > 0.9 * df.count()
+
+
+def test_typed_bars_and_appended_reports(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("timestamp,open,high,low,close\n1,1,2,0.5,1\nbad,1,x,0.5,1\n")
+    rows = src.read_typed_bars(spark, str(tmp_path / "x.csv")).collect()
+    assert [(r.timestamp, r.high) for r in rows] == [(1, 2.0), (None, None)]
+    df = spark.createDataFrame([(1,)], "n int")
+    src.write_report(df, f"{tmp_path}/r")
+    src.write_report(df, f"{tmp_path}/r", append=True)
+    assert spark.read.parquet(f"{tmp_path}/r").count() == 2
+
+
+def test_fallback_where_nothing_is_eligible(spark):
+    grid = spark.createDataFrame([("a", 0.2, 9, 0.1), ("a", 0.5, 3, 0.3), ("b", 0.2, 1, 0.9), ("b", 0.6, 1, 0.1)], "instrument string, threshold double, trades int, result double")
+    got = splits.selected_or_fallback(grid, ["instrument"], [F.desc("result")], F.col("trades") >= 3, "threshold", 0.5)
+    assert {(r.instrument, r.threshold, r.chosen) for r in got.collect()} == {("a", 0.5, "best"), ("b", 0.6, "fallback")}
