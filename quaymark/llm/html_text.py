@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from .common import ascii_lower, written
 
 #: A subtree is a template of its host if it is on so many of the host's pages at least, and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: Inside an article a subtree must be in this share of the host's different articles: a mirrored or slightly edited article may fill a third of a host.
+MIN_SHARE_INSIDE = 0.5
 #: Up to so many templates of all hosts are broadcast, as eight bytes each; more are joined to the pages by a shuffle.
 MAX_BROADCAST_TEMPLATES = 500_000
 
@@ -45,16 +48,16 @@ _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
 class Element:
-    __slots__ = ("attributes", "children", "digest", "name")
+    __slots__ = ("attributes", "children", "digest", "has_text", "name")
 
     def __init__(self, name: str, attributes: str = ""):
-        self.name, self.attributes, self.children, self.digest = name, attributes, [], 0
+        self.name, self.attributes, self.children, self.digest, self.has_text = name, attributes, [], 0, False
 
 
 def parse(page: str) -> Element:
     """The tree of elements and strings of a page; missing and misplaced end tags are allowed, and so is a page that breaks off."""
     root = Element("")
-    stack = [root]
+    stack, is_open = [root], Counter()
     at, end = 0, len(page)
     while at < end:
         lt = page.find("<", at)
@@ -74,11 +77,12 @@ def parse(page: str) -> Element:
             continue
         name = name.lower()
         if m[1]:
-            if any(x.name == name for x in stack[1:]):
-                while stack.pop().name != name:
-                    pass
+            if is_open[name]:
+                while (last := stack.pop().name) != name:
+                    is_open[last] -= 1
+                is_open[name] -= 1
             continue
-        _close_implied(stack, name)
+        _close_implied(stack, name, is_open)
         element = Element(name, m[3].strip().rstrip("/").rstrip())
         stack[-1].children.append(element)
         if name in VOID:
@@ -89,29 +93,26 @@ def parse(page: str) -> Element:
             at = stop.end() if stop else end
         else:
             stack.append(element)
+            is_open[name] += 1
     return root
 
 
-def _close_implied(stack: list[Element], name: str) -> None:
-    if name in ENDS_P:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name == "p":
-                del stack[i:]
-                break
-            if stack[i].name in BLOCKS:
-                break
-    if name in IMPLIED:
-        ends, fences = IMPLIED[name]
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in fences:
-                break
-            if stack[i].name in ends:
-                del stack[i:]
-                break
+def _close_implied(stack: list[Element], name: str, is_open: Counter) -> None:
+    """Ends what the start of name ends. is_open counts the names in the stack, so that nothing is searched that isn't there."""
+    ways = [({"p"}, BLOCKS)] if name in ENDS_P else []
+    for ends, fences in [*ways, *([IMPLIED[name]] if name in IMPLIED else [])]:
+        if any(is_open[x] for x in ends):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in ends:
+                    is_open.subtract(x.name for x in stack[i:])
+                    del stack[i:]
+                    break
+                if stack[i].name in fences:
+                    break
 
 
 def digest_tree(root: Element) -> None:
-    """Sets every element's digest: of its name, attributes, strings with white space unified, and the digests of its children."""
+    """Sets every element's digest: of its name, attributes, strings with white space unified, and the digests of its children; and whether it has text."""
     order, todo = [], [root]
     while todo:
         element = todo.pop()
@@ -122,24 +123,14 @@ def digest_tree(root: Element) -> None:
         for x in element.children:
             if type(x) is Element:
                 h.update(x.digest.to_bytes(8, "little", signed=True))
+                element.has_text |= x.has_text
             elif text := _SPACE.sub(" ", x).strip(" "):
                 h.update(text.encode("utf-8", "surrogatepass"))
                 h.update(b"\x00")
+                element.has_text = True
         element.digest = h.intdigest() - (1 << 63)
 
 
-def _has_text(element: Element) -> bool:
-    todo = [element]
-    while todo:
-        x = todo.pop()
-        for child in x.children:
-            if type(child) is Element:
-                todo.append(child)
-            elif child.strip():
-                return True
-    return False
-
-
 def marked(element: Element) -> bool:
     """Whether its name, role, class or id says that it isn't main text."""
     if element.name in NOT_TEXT:
@@ -169,18 +160,19 @@ def main_elements(root: Element) -> list[Element]:
     return found["article"] or [x for i, x in enumerate(found["main"]) if i == 0]
 
 
-def template_candidates(root: Element) -> set[int]:
-    """Digests of the subtrees with text that could be templates: those outside the main elements. What the page's own markup calls its article is content,
-    though mirrored articles recur on a host too."""
-    content = {id(x) for x in main_elements(root)}
-    out, todo = set(), [x for x in root.children if type(x) is Element]
+def template_candidates(root: Element) -> dict[int, int | None]:
+    """The digests of the subtrees with text that could be templates. The value is None outside the main elements; inside, the digest of the main element.
+    The main elements themselves and what holds them are content."""
+    content = {id(x): x.digest for x in main_elements(root)}
+    out: dict[int, int | None] = {}
+    todo: list[tuple[Element, int | None]] = [(x, None) for x in root.children if type(x) is Element]
     while todo:
-        x = todo.pop()
+        x, article = todo.pop()
         if id(x) in content:
-            continue
-        if x.name not in ("html", "body", "head") and _has_text(x):
-            out.add(x.digest)
-        todo += [c for c in x.children if type(c) is Element]
+            article = content[id(x)]
+        elif x.name not in ("html", "body", "head") and x.has_text:
+            out[x.digest] = article
+        todo += [(c, article) for c in x.children if type(c) is Element]
     return out
 
 
@@ -198,24 +190,24 @@ def text_of(root: Element, templates: set[int]) -> str:
                 blocks.append(text)
             line.clear()
 
-    todo: list = [(x, True) for x in reversed(mains)] or [(root, False)]
+    todo: list = list(reversed(mains)) or [root]
     while todo:
-        x, inside = todo.pop()
+        x = todo.pop()
         if x is None:
             close()
         elif type(x) is str:
             line.append(x)
         elif x.name == "br":
             line.append(" ")
-        elif marked(x) and id(x) not in content or not inside and x.digest in templates:
+        elif id(x) not in content and x is not root and (x.digest in templates or marked(x)):
             if x.name in BLOCKS:
                 close()
         else:
             block = x.name in BLOCKS or x is root
             if block:
                 close()
-                todo.append((None, inside))
-            todo += [(c, inside) for c in reversed(x.children)]
+                todo.append(None)
+            todo += reversed(x.children)
     close()
     return "\n\n".join(blocks)
 
@@ -226,53 +218,63 @@ def host_of(url):
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, digest, inside, article) for each possible template of each page; rows without a digest count the pages and, inside, the articles."""
     for batch in batches:
-        hosts, digests = [], []
-        for host, page in zip(batch.column(0), batch.column(1)):
+        rows = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             root = parse(page.as_py() or "")
             digest_tree(root)
-            found = template_candidates(root)
-            hosts += [host.as_py()] * (len(found) + 1)
-            digests += [None, *found]  # null counts the page
-        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "digest": pa.array(digests, pa.int64())})
+            rows.append((host, None, False, None))
+            rows += [(host, None, True, x.digest) for x in main_elements(root)]
+            rows += [(host, digest, article is not None, article) for digest, article in template_candidates(root).items()]
+        columns = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.int64()))], names=["host", "digest", "inside", "article"])
 
 
-def site_templates(pages: DataFrame, url: str = "url", markup: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates): the digests of the host's template subtrees. Counts are pre-aggregated before the shuffle. A host has at most its pages' mean number
-    of subtrees, divided by min_share, of them."""
-    found = pages.select(host_of(F.col(url)).alias("host"), F.col(markup).alias("html")).mapInArrow(_subtrees, "host string, digest long")
-    counts = written(found.groupBy("host", "digest").agg(F.count("*").alias("n")), "subtrees")
-    sizes = counts.where("digest is null").select(F.col("host"), F.col("n").alias("pages"))
-    often = counts.where(F.col("digest").isNotNull() & (F.col("n") >= min_pages)).join(sizes, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("digest").alias("templates"))
+def site_templates(pages: DataFrame, url: str = "url", markup: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_share_inside: float = MIN_SHARE_INSIDE) -> DataFrame:
+    """(host, templates): the digests of the host's template subtrees.
 
-
-def extract_text(pages: DataFrame, keep: list[str], url: str = "url", markup: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """The columns keep of every row and text, the main text of the page.
-
-    Subtrees outside the page's article that recur on the host are removed, and so are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-    styles and reader comments; of what is left, the article elements count, or else the main element, or else all. Character references are decoded, white
-    space inside a block is one space, blocks are trimmed and joined by an empty line. Null and empty pages give ''; rows are neither dropped nor joined.
+    Outside articles the pages count that have a subtree, inside the different articles, so that an article which is mirrored counts once. Counts are
+    pre-aggregated before the shuffle. A host has at most its pages' mean number of subtrees, divided by the share, of templates.
+    """
+    found = pages.select(host_of(F.col(url)).alias("host"), F.col(markup).alias("html")).mapInArrow(_subtrees, "host string, digest long, inside boolean, article long")
+    counts = written(found.groupBy("host", "digest", "inside", "article").agg(F.count("*").alias("n")), "subtrees")
+    counts = counts.groupBy("host", "digest", "inside").agg(F.when(F.col("inside"), F.count("*")).otherwise(F.sum("n")).alias("n"))
+    sizes = counts.where("digest is null").select("host", "inside", F.col("n").alias("all"))
+    share = F.when(F.col("inside"), min_share_inside).otherwise(min_share)
+    often = counts.where(F.col("digest").isNotNull() & (F.col("n") >= min_pages)).join(sizes, ["host", "inside"]).where(F.col("n") >= share * F.col("all"))
+    return often.groupBy("host").agg(F.collect_set("digest").alias("templates"))
+
+
+def extract_text(pages: DataFrame, keep: list[str], url: str = "url", markup: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_share_inside: float = MIN_SHARE_INSIDE) -> DataFrame:
+    """The columns keep of every row and text, the main text of the page (a column text among keep is replaced).
+
+    Subtrees that recur on the host are removed, inside articles too, and so are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+    styles and reader comments by their tags, roles, classes and ids; of what is left, the article elements count, or else the main element, or else all.
+    Character references are decoded, white space inside a block is one space, blocks are trimmed and joined by an empty line. Null and empty pages give
+    ''; rows are neither dropped nor joined, and repeated rows are rows. Work and memory grow with the length of a page, however it is nested.
     """
-    templates = written(site_templates(pages, url, markup, min_pages, min_share), "templates")
+    keep = [c for c in keep if c != "text"]
+    templates = written(site_templates(pages, url, markup, min_pages, min_share, min_share_inside), "templates")
     total = templates.agg(F.coalesce(F.sum(F.size("templates")), F.lit(0))).first()[0]
     if total <= MAX_BROADCAST_TEMPLATES:
         templates = F.broadcast(templates)
     held = F.struct(*keep)
-    rows = pages.select(held.alias("_row"), F.col(markup).alias("_html"), host_of(F.col(url)).alias("host")).join(templates, "host", "left").select("_row", "_html", "templates")
+    rows = pages.select(held.alias("_row"), F.col(markup).alias("_html"), host_of(F.col(url)).alias("host")).join(templates, "host", "left").select("_row", "_html", "host", "templates")
     schema = T.StructType([rows.schema["_row"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple = (None, set())
+        known: dict[str, set[int]] = {}  # of the last hosts
         for batch in batches:
             out = []
-            for page, digests in zip(batch.column(1), batch.column(2)):
-                own = digests.as_py() or []
-                if known[0] != own:
-                    known = (own, set(own))
+            for page, host, digests in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
+                if host not in known:
+                    if len(known) == 64:
+                        known.clear()
+                    known[host] = set(digests.as_py() or [])
                 root = parse(page.as_py() or "")
                 digest_tree(root)
-                out.append(text_of(root, known[1]))
+                out.append(text_of(root, known[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_row", "text"])
 
     done = rows.mapInArrow(run, schema)

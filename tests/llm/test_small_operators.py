@@ -70,6 +70,20 @@ def test_verdicts_and_edge_rows(spark):
     assert quality_rules.judge(df.limit(0), ["doc_id"]).collect() == []
 
 
+def test_every_adaptive_rule_rejects(spark):
+    """One row for each metric that breaks only its fence; columns with a result's name are replaced."""
+    prose = lambda k: " ".join(f"word{(i * k) % 89}{'x' * (i % 4)}" for i in range(80))
+    good = [(i, prose(i), "en", "s") for i in range(1, 60)]
+    bad = {
+        "symbols_per_word": " ".join(f"wo$rd{i}" for i in range(80)), "dup_lines_per_line": "\n".join([prose(3), prose(5), *["one two"] * 5]),
+        "repeat_per_word": " ".join([*(f"word{i}" for i in range(35)), *"abcdefgh", *(f"words{i}" for i in range(35)), *"abcdefgh"]), "chars_per_word": " ".join(f"{'verylongword' * 2}{i}" for i in range(80)), "upper_per_char": " ".join(f"WOrd{i}z" for i in range(80)),
+    }
+    df = spark.createDataFrame([(*r, 5) for r in good + [(100 + i, t, "en", "s") for i, t in enumerate(bad.values())]], "doc_id long, text string, lang string, source string, n_words int")
+    rows = quality_rules.judge(df, ["doc_id", "n_words"]).collect()
+    assert {r.doc_id for r in rows if not r.kept} == set(range(100, 105)) and not any(r.base_failed for r in rows)
+    assert all(r.n_words >= 80 for r in rows)
+
+
 def test_clean_documents_stay(spark):
     judged = queries.op5_quality_rules(spark, "/root/testdata/sf0.01")
     labels = table(spark, "/root/testdata/sf0.01", "labels")
@@ -85,6 +99,9 @@ def test_canonical_forms_agree(spark):
         (4, "licensed under CC BY-NC 4.0."), (5, "This work is licensed under the GNU General Public License, version 3."), (6, None), (7, "---"), (8, mit + "\nand more"), (1, "x"), (1, "x"), (9, "copyright holders are many"),
     ]
     df = spark.createDataFrame([(d, t, "z") for d, t in docs], "doc_id long, text string, license string")
+    long_rows = [(20 + i, above + "\nCopyright (c) 1999 X\n\n" + text, "z") for i, (name, text) in enumerate(license_scans.TEXTS.items()) for above in (license_scans.TITLES[name][0],)]
+    found = license_scans.scan_licenses(spark.createDataFrame([*long_rows, (50, "word " * 400_000, "z")], df.schema), license_scans.known_licenses(spark)).collect()
+    assert {r.doc_id: r.license for r in found} == {50: None} | {20 + i: name for i, name in enumerate(license_scans.TEXTS)}
     rows = license_scans.scan_licenses(df, license_scans.known_licenses(spark)).collect()
     got = {(r.doc_id, r.license, tuple(r.notices)) for r in rows}
     assert len(rows) == len(docs)
@@ -128,7 +145,7 @@ def test_contamination(spark, most):
     d = spark.createDataFrame([(a, b, 3) for a, b in docs], "doc_id long, text string, n_hit int")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = plain_contamination(docs, items)
-    for r in decontamination.find_contamination(d.drop("n_hit"), b, ["doc_id", "text"], max_windows=most).collect():
+    for r in decontamination.find_contamination(d, b, ["doc_id", "text", "n_hit"], max_windows=most).collect():
         assert (r.n_words, r.n_hit, list(r.items)) == want[r.doc_id]
         assert {s.item for s in r.spans} == set(r.items)
         for s in r.spans:
@@ -169,6 +186,57 @@ def test_site_templates_go(spark):
     assert html_text.extract_text(df, ["page_id"]).count() == len(pages) and html_text.extract_text(df.limit(0), ["page_id"]).collect() == []
 
 
+def test_templates_inside_articles_decide(spark):
+    """A neutral element that most articles of a host have goes; what a third of them has stays, and so does an article that is mirrored on most pages."""
+    story = lambda i: f"<h1>T{i}</h1><p>Story {i}</p>" + ("<p>Series</p>" if i % 3 == 0 else "")
+    pages = [(i, f"http://h.org/{i}", f"<article>{story(i)}<div class=x>Read our magazine</div></article>", "old") for i in range(9)]
+    pages += [(20 + i, f"http://m.org/{i}", "<article><p>Mirrored</p></article>", "old") for i in range(9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    want = {i: f"T{i}\n\nStory {i}" + ("\n\nSeries" if i % 3 == 0 else "") for i in range(9)} | {20 + i: "Mirrored" for i in range(9)}
+    got = html_text.extract_text(df, ["page_id", "text"])
+    assert got.columns == ["page_id", "text"] and {r.page_id: r.text for r in got.collect()} == want
+    without = {r.page_id: r.text for r in html_text.extract_text(df, ["page_id"], min_pages=100).collect()}
+    assert all(without[i] == want[i] + "\n\nRead our magazine" for i in range(9))
+
+
+def test_share_of_pages_is_reached_exactly(spark):
+    """Five of 25 pages are a fifth: a template. Four pages never are."""
+    pages = [(i, f"http://h.org/{i}", f"<p>own {i}</p>" + "<div>five</div>" * (i < 5) + "<div>four</div>" * (i < 4)) for i in range(25)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df, ["page_id"]).collect()}
+    assert got == {i: f"own {i}" + "\n\nfour" * (i < 4) for i in range(25)}
+
+
+def test_templates_equal_plain_counting(spark):
+    """Subtrees of random pages, counted and deleted one by one."""
+    rng = random.Random(6)
+    parts = [f"<div><b>{w}</b> {w * 2}</div>" for w in "abcdefghij"] + ["<ul><li>m<li>n</ul>", "<p>one", "<section><div>x</div></section>"]
+    pages = [(i, f"http://{'ab'[i % 2]}.org/", "".join(rng.choices(parts, k=rng.randint(1, 5))) + ("<article>" + "".join(rng.choices(parts, k=4)) + "</article>") * (i % 3 == 0)) for i in range(60)]
+    count, articles, size = Counter(), {}, Counter()
+    trees = {}
+    for i, url, page in pages:
+        trees[i] = root = html_text.parse(page)
+        html_text.digest_tree(root)
+        size[url] += 1
+        for digest, article in html_text.template_candidates(root).items():
+            if article is None:
+                count[url, digest] += 1
+            else:
+                articles.setdefault((url, digest), set()).add(article)
+    mains = {url: {x.digest for i, u, _ in pages if u == url for x in html_text.main_elements(trees[i])} for url in size}
+    gone = {url: {d for (u, d), n in count.items() if u == url and n >= 5 and n >= 0.2 * size[url]} | {d for (u, d), who in articles.items() if u == url and len(who) >= 5 and len(who) >= 0.5 * len(mains[url])} for url in size}
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df, ["page_id"]).collect()}
+    assert got == {i: html_text.text_of(trees[i], gone[url]) for i, url, _ in pages} and any(gone.values())
+
+
+def test_deep_and_long_pages_take_linear_time():
+    root = html_text.parse("<div>" * 60_000 + "x" + "<p>y" * 60_000)
+    html_text.digest_tree(root)
+    assert len(html_text.template_candidates(root)) > 60_000
+    assert html_text.text_of(root, set()).count("y") == 60_000
+
+
 def test_html_query_gives_the_articles(spark):
     pages = {r.page_id: r for r in table(spark, SF, "pages").collect()}
     for r in queries.op9_html_extraction(spark, SF).collect():
