@@ -14,14 +14,15 @@ from .common import UPPER, written
 
 #: Base rules.
 MIN_WORDS, WINDOW_WORDS, MAX_REPEAT_PERCENT = 10, 5, 20
-#: What the adaptive rules look at, each times SCALE as an integer: (name, SQL over the counts, least width of the fence above the upper quartile).
+#: What the adaptive rules look at, each times SCALE as an integer: (name, SQL over the counts, least width of the fence above the upper quartile). The
+#: widths leave every fence inside its metric's range (shares end at SCALE, repeats at the base rule's), so each rule can reject.
 SCALE = 1000
 METRICS = (
     ("symbols_per_word", f"n_symbols * {SCALE} div n_words", 50),
-    ("dup_lines_per_line", f"n_dup_lines * {SCALE} div greatest(n_lines, 1)", 300),
-    ("repeat_per_word", f"n_repeat_words * {SCALE} div n_words", 100),
-    ("chars_per_word", f"word_chars * {SCALE} div n_words", 4000),
-    ("upper_per_char", f"n_upper * {SCALE} div greatest(word_chars, 1)", 250),
+    ("dup_lines_per_line", f"n_dup_lines * {SCALE} div greatest(n_lines, 1)", 100),
+    ("repeat_per_word", f"n_repeat_words * {SCALE} div n_words", 45),
+    ("chars_per_word", f"word_chars * {SCALE} div n_words", 1200),
+    ("upper_per_char", f"n_upper * {SCALE} div greatest(word_chars, 1)", 50),
 )
 #: Fences stand FENCE widths (upper quartile less median, or the least width) above the upper quartile. A group of fewer documents than MIN_GROUP takes its
 #: language's sketch, and that of fewer the sketch of all documents.
@@ -128,9 +129,11 @@ def judge(docs: DataFrame, keep: list[str], by: tuple[str, ...] = ("lang", "sour
     """The columns keep, COUNTS, base_failed and kept of every row.
 
     A row is kept if it passes the base rules and no metric exceeds the fence of its language and source; thresholds are learned from the rows that pass the
-    base rules. Null and empty texts have no words and fail; null groups are groups of their own; repeated rows are judged alike; empty tables give no rows.
+    base rules. Null and empty texts have no words and fail; null groups are groups of their own; repeated rows are judged alike, values on the fence are
+    kept, columns among keep that have a result's name are replaced; empty tables give no rows.
     store: whether to write the counts once (for a narrow keep) or to count again for the verdicts.
     """
+    keep = [c for c in keep if c not in (*COUNTS, "base_failed", "kept")]
     names = {c: f"_by{i}" for i, c in enumerate(by)}
     counted = with_counts(docs.select(*keep, *[F.col(c).alias(n) for c, n in names.items()], text), [*keep, *names.values()], text)
     counted = counted.withColumn("base_failed", base_failed())
