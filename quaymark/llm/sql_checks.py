@@ -71,7 +71,7 @@ OP5 = _op5()
 
 def _op6() -> str:
     text = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = [(name, form.format(spelled)) for name, all_ in license_scans.NAMES.items() for spelled in all_ for form in license_scans.NOTICES] + list(license_scans.TEXTS.items())
+    rows = license_scans.built_in()
     known = ", ".join(f"({text(a)}, {text(b)})" for a, b in rows)
 
     def lines(column: str) -> str:
