@@ -6,11 +6,14 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 #: Consecutive words of an item that make a window.
 WINDOW_WORDS = 10
 #: An automaton of so many windows at most is broadcast; a larger benchmark is scanned by several automata, one after the other.
@@ -81,39 +84,43 @@ def spans(text: str, hits: list[tuple[int, int, int]], items: list[str]) -> list
             runs[-1][1] = max(runs[-1][1], end)
         else:
             runs.append([start, end])
-    plain = text.isascii()
-    chars = (lambda at: at) if plain else (lambda at: len(data[:at].decode("utf-8", "surrogatepass")))
-    return [{"start": chars(places[a][0]), "end": chars(places[b - 1][1]), "item": items[i]} for i, runs in merged.items() for a, b in runs]
+    begins = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    chars = [0, *np.cumsum(begins).tolist()]  # of each byte offset
+    return [{"start": chars[places[a][0]], "end": chars[places[b - 1][1]], "item": items[i]} for i, runs in merged.items() for a, b in runs]
 
 
-def _automata(items: DataFrame, item: str, text: str, window: int, most: int) -> list[Automaton]:
-    """The items are read in bounded parts: each part has at most so many words, hence windows."""
+def _automata(items: DataFrame, item: str, text: str, window: int, most: int) -> Iterator[tuple[Automaton, bool]]:
+    """One automaton after the other, and whether it is the last. The items are read in bounded parts: each part has about so many words, hence windows."""
     rows = items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     size = F.size(F.split(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     total = rows.agg(F.sum(F.coalesce(size, F.lit(0)).cast("long"))).first()[0] or 0
     parts = int(-(-total // most)) or 1
-    if parts == 1:
-        return [Automaton([tuple(r) for r in rows.collect()], window)]
     part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
-    return [Automaton([tuple(r) for r in rows.where(part == k).collect()], window) for k in range(parts)]
+    for k in range(parts):
+        yield Automaton([tuple(r) for r in rows.where(part == k).collect()], window), k == parts - 1
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, with_spans: bool = True, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The columns keep of every row and n_words, n_hit, items, spans.
 
     A window is `window` consecutive words of an item, or the whole of a shorter item that has any. n_hit counts the words of the text that lie inside an
     occurrence of any window, items are the ids of the items with such windows, sorted as strings, and spans their places as character offsets in the text as
     it is. Null and empty texts have no words. Null or wordless items have no window, items of the same text are each named, an empty benchmark hits nothing.
+    Columns among keep that have a result's name are replaced; repeated rows are rows. A benchmark of more than max_windows words is scanned by one automaton
+    after the other, and only one is in memory at a time: what they find is written in between.
     """
+    keep = [c for c in keep if c not in RESULT.names]
     held = F.struct(*keep) if keep else F.struct(F.lit(1).alias("none"))
     out = docs.select(held.alias("_row"), F.col(text).alias("_text"))
-    automata = _automata(items, item_id, item_text, window, max_windows)
     ranges = T.StructField("_ranges", T.ArrayType(T.ArrayType(T.LongType())))
-    for k, automaton in enumerate(automata):
-        last = k == len(automata) - 1
+    first = True
+    for automaton, last in _automata(items, item_id, item_text, window, max_windows):
         fields = [out.schema["_row"], *RESULT] if last else [out.schema["_row"], out.schema["_text"], *RESULT, ranges]
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        out = out.mapInArrow(_scanner(shared, with_spans, k == 0, last), T.StructType(fields))
+        out = out.mapInArrow(_scanner(shared, first, last), T.StructType(fields))
+        if not last:
+            out, first = written(out, "scanned"), False
+            shared.unpersist()
     return out.select(*([F.col("_row")[c].alias(c) for c in keep]), *[f.name for f in RESULT])
 
 
@@ -121,7 +128,7 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.strin
 _TYPES = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(_SPAN), pa.list_(pa.list_(pa.int64()))]
 
 
-def _scanner(shared, with_spans: bool, first: bool, last: bool):
+def _scanner(shared, first: bool, last: bool):
     """One automaton's scan of _row, _text and, after the first, what the automata before have found."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +140,7 @@ def _scanner(shared, with_spans: bool, first: bool, last: bool):
                 n, hits = automaton.scan(text)
                 ids = {automaton.items[k] for _, _, k in hits}
                 ranges = [(a, b) for a, b, _ in hits]
-                places = spans(text, hits, automaton.items) if hits and with_spans else []
+                places = spans(text, hits, automaton.items) if hits else []
                 if not first:
                     ids |= set(batch.column(4)[i].as_py())
                     places = batch.column(5)[i].as_py() + places

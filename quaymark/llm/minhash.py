@@ -84,8 +84,9 @@ def _sketcher(size: int):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64())),
+                    batch.column(2),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sketch"],
+                names=["doc_id", "n_shingles", "digest", "sketch", "text_hash"],
             )
 
     return run
@@ -236,7 +237,7 @@ def _rest_links(lists: DataFrame, members: DataFrame, texts: DataFrame, size: in
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; kept marks the row that has the smallest id of its component.
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row; text_hash is xxhash64 of the text, which tells rows of one id apart; kept marks the row that has the smallest id of its component.
 
     Documents are linked if their shingle sets have a Jaccard similarity of percent / 100 or more. Equal sets are one class and only its smallest id goes on.
     In each inverted list all nodes are compared with the hub (the node of the largest weight): estimated on union sketches, then verified on the full sets. Where
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     component's id, unless all rows with that shingle set have null ids. Empty tables give no rows.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = written(texts.mapInArrow(_sketcher(shingle_words), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])), "sketches")
+    sketched = written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketcher(shingle_words), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("text_hash", T.LongType())])), "sketches")
     ids = written(sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     classes = sketched.join(ids.withColumnRenamed("digest", "_digest"), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("_digest"))).select("node", "n_shingles", "sketch").dropDuplicates(["node"])
     lists = written(_inverted_lists(classes), "lists")
@@ -259,6 +260,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     rest = written(_rest_links(lists, members, texts, shingle_words, percent), "rest-links")
     if not rest.isEmpty():
         members = connected_components(star.unionByName(rest), "all")
-    rows = sketched.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left").join(members, "node", "left")
+    rows = sketched.select("doc_id", "n_shingles", "digest", "text_hash").join(ids, "digest", "left").join(members, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")

@@ -30,15 +30,16 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document: its pieces, their number and digest, and whether they decode to the text."""
-    encoded = sentencepieces.encode_texts(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    """Of every document: its pieces, their number and digest, and whether they decode to the text; parity: of ids divisible by 20, whether the sentencepiece
+    library's pieces and text are the same."""
+    encoded = sentencepieces.encode_texts(table(spark, sf_dir, "documents"), ["doc_id", "text"], check=F.col("doc_id") % 20 == 0)
     digest = F.sha2(F.array_join(F.col("pieces").cast("array<string>"), ",").cast("binary"), 256)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return encoded.select("doc_id", "n_pieces", digest.alias("pieces_sha256"), same.alias("round_trip"), "pieces")
+    return encoded.select("doc_id", "n_pieces", digest.alias("pieces_sha256"), same.alias("round_trip"), "parity", "pieces")
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = decontamination.find_contamination(docs, items, ["doc_id"], with_spans=False)
+    found = decontamination.find_contamination(docs, items, ["doc_id"])
     items_sha256 = decontamination.items_digest(F.col("items"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_sha256.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
