@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,15 +19,14 @@ from .common import UPPER, written
 
 #: The most frequent words are outputs of their own: CLASSES classes of MEMBERS words. All other words are in one of SHAPES classes by their form, and
 #: within such a class go by their count in the corpus, so the vocabulary is open and grows with the input.
-CLASSES, MEMBERS, SHAPES = 32, 32, 16
+CLASSES, MEMBERS, SHAPES = 64, 32, 16
 #: Counts of so many words go to every task; those of the rest are joined.
 LOOKUP_WORDS, LOOKUP_BYTES = 200_000, 48
 #: Units of the recurrent layer and of the embedding; tokens of a window of backpropagation; texts that run side by side in training and in scoring.
-HIDDEN, WINDOW, TRAIN_LANES, LANES = 32, 32, 128, 256
-#: The texts that train are cut into spans of SPAN tokens, of which one in SPAN_RATE trains, picked by a hash: the tokens that train grow with the input.
-SPAN, SPAN_RATE = 128, 20
-#: Rounds of training on all spans, after each of which the tasks' models are averaged; steps of a task at least, by passing over its spans again, at most PASSES times.
-ROUNDS, LEAST_STEPS, PASSES, RATE = 2, 150, 8, 0.004
+HIDDEN, WINDOW, TRAIN_LANES, LANES = 32, 32, 256, 256
+#: Every training text trains once, in spans of SPAN tokens, over which the state is carried: rows are dealt to ROUNDS rounds by a hash, and after each round the
+#: tasks' models are averaged. The pace of Adam's steps halves each time that the steps grow fourfold beyond SLOWER.
+SPAN, ROUNDS, RATE, SLOWER = 2048, 2, 0.004, 200
 #: Models are averaged in so many groups before the driver averages these.
 GROUPS = 32
 FLUSH_WORDS = 300_000
@@ -48,10 +47,12 @@ def shape(word: bytes) -> int:
 
 
 class Vocabulary(NamedTuple):
-    """heads: number of each output word, most frequent first. counts: counts of the LOOKUP_WORDS. logs: log10 of the sum of count + 1 over each shape's words, and 1."""
+    """numbers: number of each of the LOOKUP_WORDS, most frequent first; the first CLASSES * MEMBERS are outputs of their own. counts: their counts, by number.
+    targets: their classes. shape_logs: log10 of the sum of count + 1 over each shape's words, and 1."""
 
-    heads: dict[bytes, int]
-    counts: dict[bytes, int]
+    numbers: dict[bytes, int]
+    counts: np.ndarray
+    targets: np.ndarray
     class_counts: np.ndarray
     head_counts: np.ndarray
     shape_logs: np.ndarray
@@ -148,15 +149,24 @@ class Encoded(NamedTuple):
     members: np.ndarray
 
 
-def encode(words: list[bytes], heads: dict[bytes, int]) -> Encoded:
+def numbered(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, Encoded]:
+    """Of a text's tokens: their numbers (-1: not in the lookup), the places of those that have none, and the targets and, one later, inputs."""
+    first = CLASSES * MEMBERS
+    numbers = np.fromiter(map(vocabulary.numbers.get, words, repeat(-1)), np.int32, len(words))
+    missing = np.flatnonzero(numbers < 0)
+    classes = vocabulary.targets[numbers] if len(vocabulary.targets) else np.zeros(len(words), np.int32)
+    if len(missing):
+        classes[missing] = [CLASSES + shape(words[i]) for i in missing.tolist()]
+    own = classes < CLASSES
+    outputs = np.where(own, numbers, classes + (first - CLASSES))
+    inputs = np.empty_like(outputs)
+    inputs[0], inputs[1:] = Model.INPUTS - 1, outputs[:-1]
+    return numbers, missing, Encoded(inputs, classes, np.where(own, numbers % MEMBERS, 0))
+
+
+def encode(words: list[bytes], vocabulary: Vocabulary) -> Encoded:
     """Numbers of a text's tokens as targets and, one later, as inputs."""
-    get, first = heads.get, CLASSES * MEMBERS
-    numbers = np.array([i if (i := get(w)) is not None else first + shape(w) for w in words], np.int32)
-    head = numbers < first
-    classes = np.where(head, numbers // MEMBERS, numbers - first + CLASSES)
-    inputs = np.empty_like(numbers)
-    inputs[0], inputs[1:] = Model.INPUTS - 1, numbers[:-1]
-    return Encoded(inputs, classes, np.where(head, numbers % MEMBERS, 0))
+    return numbered(words, vocabulary)[2]
 
 
 def _in_lanes(texts: list[Encoded], lanes: int) -> tuple[np.ndarray, ...]:
@@ -204,30 +214,33 @@ def log_likelihoods(model: Model, texts: list[Encoded], lanes: int = LANES) -> n
     return total
 
 
-def train(model: Model, texts: list[Encoded], passes: int = 1, lanes: int = TRAIN_LANES, rate: float = RATE) -> tuple[Model, int]:
-    """Adam on windows of truncated backpropagation: the state goes on from window to window, gradients don't. Returns the model and the number of steps."""
-    if not texts:
-        return model, 0
-    inputs, classes, members, which, starts = _in_lanes(texts, lanes)
-    flat = model.flat()
-    first_moment, second_moment, steps = np.zeros_like(flat), np.zeros_like(flat), 0
-    windows = -(-len(inputs) // WINDOW)
-    for _ in range(passes):
+class Trainer:
+    """Adam on windows of truncated backpropagation: the state goes on from window to window, gradients don't. Moments and pace go on from one call to the next."""
+
+    def __init__(self, model: Model, rate: float = RATE, lanes: int = TRAIN_LANES):
+        self.model, self.flat, self.rate, self.lanes, self.steps = model, model.flat(), rate, lanes, 0
+        self.first_moment, self.second_moment = np.zeros_like(self.flat), np.zeros_like(self.flat)
+
+    def learn(self, texts: list[Encoded]) -> None:
+        inputs, classes, members, which, starts = _in_lanes(texts, self.lanes)
         h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
         for first in range(0, len(inputs), WINDOW):
-            places = slice(first, min(first + WINDOW, len(inputs)))
-            grads, h, n = _window(model, inputs[places], classes[places], members[places], which[places] >= 0, starts[places], h)
-            gradient = np.concatenate([grads[k].ravel() for k in Model.NAMES]) / max(n, 1)
-            norm = float(np.sqrt(gradient @ gradient))
-            if norm > 1:
-                gradient /= norm
-            steps += 1
-            first_moment += 0.1 * (gradient - first_moment)
-            second_moment += 0.01 * (gradient * gradient - second_moment)
-            pace = rate * (1 - 0.9 * steps / (windows * passes + 1))
-            flat = flat - pace * (first_moment / (1 - 0.9**steps)) / (np.sqrt(second_moment / (1 - 0.99**steps)) + 1e-6)
-            model = model.replaced(flat)
-    return model, steps
+            n = int((which[first] >= 0).sum())  # lanes are sorted by length: the others have ended
+            at = slice(first, min(first + WINDOW, len(inputs))), slice(0, n)
+            grads, h, tokens_ = _window(self.model, inputs[at], classes[at], members[at], which[at] >= 0, starts[at], h[:n])
+            self._step(np.concatenate([grads[k].ravel() for k in Model.NAMES]) / max(tokens_, 1))
+
+    def _step(self, gradient: np.ndarray) -> None:
+        norm = float(np.sqrt(gradient @ gradient))
+        if norm > 1:
+            gradient /= norm
+        self.steps += 1
+        self.first_moment += 0.1 * (gradient - self.first_moment)
+        self.second_moment += 0.01 * (gradient * gradient - self.second_moment)
+        pace = self.rate / math.sqrt(1 + self.steps / SLOWER)
+        move = np.sqrt(self.second_moment / (1 - 0.99**self.steps)) + 1e-6
+        self.flat = self.flat - pace / (1 - 0.9**self.steps) * self.first_moment / move
+        self.model = self.model.replaced(self.flat)
 
 
 def _window(model: Model, inputs, classes, members, real, starts, h) -> tuple[dict, np.ndarray, int]:
@@ -268,29 +281,17 @@ def _window(model: Model, inputs, classes, members, real, starts, h) -> tuple[di
     return grads, h, int(real.sum())
 
 
-_GATHERED = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("word", T.BinaryType()), T.StructField("shape", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("span", T.BinaryType())])
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of training texts (id, text): rows of kind 0 with the counts of the task's words, and rows of kind 1 with the spans that train."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, shape, n) of texts: the counts of the task's words, let go whenever there are FLUSH_WORDS of them."""
 
     def counts(found: Counter) -> pa.RecordBatch:
-        words, n = list(found), len(found)
-        columns = [pa.array(np.zeros(n, np.int32)), pa.array(words, pa.binary()), pa.array([shape(w) for w in words], pa.int32()), pa.array(list(found.values()), pa.int64()), pa.nulls(n, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=_GATHERED.names)
+        columns = [pa.array(list(found), pa.binary()), pa.array([shape(w) for w in found], pa.int32()), pa.array(list(found.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "shape", "n"])
 
     found: Counter = Counter()
     for batch in batches:
-        spans = []
-        for doc, text in zip(batch.column(0), batch.column(1)):
-            words = tokens(text.as_py())
-            found.update(words)
-            key = str(doc.as_py())
-            for at in range(0, len(words), SPAN):
-                if xxhash.xxh3_64_intdigest(f"{key} {at}") % SPAN_RATE == 0:
-                    spans.append(b" ".join(words[at : at + SPAN]))
-        n = len(spans)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(spans, pa.binary())], names=_GATHERED.names)
+        for text in batch.column(0):
+            found.update(tokens(text.as_py()))
         if len(found) > FLUSH_WORDS:
             yield counts(found)
             found = Counter()
@@ -306,9 +307,10 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     least = sizes.where(F.col("upto") <= LOOKUP_WORDS).agg(F.min("c")).first()[0]
     rows = short.where(F.col("c") >= least).select("word", "c").collect() if least is not None else []
     known = {bytes(w): c for w, c in sorted(rows, key=lambda r: (-r.c, bytes(r.word)))}
-    heads = {w: i for i, w in enumerate(list(known)[: CLASSES * MEMBERS])}
+    heads = list(known)[: CLASSES * MEMBERS]
     head_counts = np.zeros(CLASSES * MEMBERS)
     head_counts[: len(heads)] = [known[w] for w in heads]
+    targets = np.array([i // MEMBERS if i < CLASSES * MEMBERS else CLASSES + shape(w) for i, w in enumerate(known)], np.int32)
     sums, kinds = np.zeros(SHAPES), np.zeros(SHAPES)
     for k, c, n in counts.groupBy("shape").agg(F.sum("c"), F.count("*")).collect():
         sums[k], kinds[k] = c, n
@@ -316,37 +318,33 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
         sums[shape(w)] -= known[w]
         kinds[shape(w)] -= 1
     class_counts = np.concatenate((head_counts.reshape(CLASSES, MEMBERS).sum(1), sums))
-    return Vocabulary(heads, known, class_counts, head_counts, np.log10(sums + kinds + 1), total, distinct)
+    return Vocabulary({w: i for i, w in enumerate(known)}, np.array(list(known.values()), np.float64), targets, class_counts, head_counts, np.log10(sums + kinds + 1), total, distinct)
 
 
-def fit(spans: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """Rounds of local training: each task trains on its spans from the shared model, and the models are averaged by their steps, in GROUPS groups by Spark first."""
-    spark = spans.sparkSession
+def fit(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """From (round, text): in each round, each task trains on its texts from the shared model, and the models are averaged by their steps, in GROUPS groups by
+    Spark first."""
+    spark = texts.sparkSession
     model = Model.initial(vocabulary)
-    heads = spark.sparkContext.broadcast(vocabulary.heads)
-    for _ in range(rounds):
+    known = spark.sparkContext.broadcast(vocabulary)
+    for number in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def local(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            mine, steps_of, held, size = shared.value, 0, [], 0
-
-            def learn() -> None:
-                nonlocal mine, steps_of, held, size
-                windows = -(-size // (TRAIN_LANES * WINDOW)) or 1
-                mine, steps = train(mine, held, 1 if steps_of else min(PASSES, -(-LEAST_STEPS // windows)))
-                steps_of += steps
-                held, size = [], 0
-
+            mine, held, size = Trainer(shared.value), [], 0
             for batch in batches:
-                for span in batch.column(0).to_pylist():
-                    held.append(encode(span.split(b" "), heads.value))
-                    size += len(held[-1].inputs)
+                for text in batch.column(0):
+                    words = tokens(text.as_py())
+                    for at in range(0, len(words), SPAN):
+                        held.append(encode(words[at : at + SPAN], known.value))
+                    size += len(words)
                     if size >= 1_000_000:
-                        learn()
+                        mine.learn(held)
+                        held, size = [], 0
             if held:
-                learn()
-            if steps_of:
-                row = {"part": pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), "steps": pa.array([float(steps_of)]), "model": pa.array([mine.flat().astype(np.float32).tobytes()], pa.binary())}
+                mine.learn(held)
+            if mine.steps:
+                row = {"part": pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), "steps": pa.array([float(mine.steps)]), "model": pa.array([mine.flat.astype(np.float32).tobytes()], pa.binary())}
                 yield pa.RecordBatch.from_pydict(row)
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +356,7 @@ def fit(spans: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model
             if steps:
                 yield pa.RecordBatch.from_pydict({"steps": pa.array([steps]), "model": pa.array([(total / steps).astype(np.float32).tobytes()], pa.binary())})
 
-        models = spans.select("span").mapInArrow(local, "part int, steps double, model binary")
+        models = texts.where(F.col("round") == number).select("text").mapInArrow(local, "part int, steps double, model binary")
         rows = models.repartition(GROUPS, "part").mapInArrow(average, "steps double, model binary").collect()
         if rows:
             steps = sum(r.steps for r in rows)
@@ -376,8 +374,9 @@ def _scorer(shared, most: int = 400_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, vocabulary = shared.value
-        heads, counts, shapes = vocabulary.heads, vocabulary.counts, vocabulary.shape_logs
-        logs = {w: math.log10(c + 1) for w, c in counts.items()}
+        logs = np.log10(vocabulary.counts + 1)
+        inside = np.where(vocabulary.targets >= CLASSES, logs, 0.0)  # of words within a class of a shape
+        whole = np.concatenate((np.zeros(CLASSES), vocabulary.shape_logs))
 
         def scored(held: list[tuple]) -> list[tuple]:
             found = log_likelihoods(model, [e for e, _ in held]) / math.log(10)
@@ -387,21 +386,11 @@ def _scorer(shared, most: int = 400_000):
             out, held, size = [], [], 0
             for text in batch.column(1):
                 words = tokens(text.as_py())
-                e = encode(words, heads)
-                known = total = inside = 0
-                other: dict[bytes, int] = {}
-                for w, k in zip(words, e.classes.tolist()):
-                    x = logs.get(w)
-                    if x is None:
-                        other[w] = other.get(w, 0) + 1
-                    else:
-                        known += 1
-                        total += x
-                        if k >= CLASSES:
-                            inside += x
-                    if k >= CLASSES:
-                        inside -= shapes[k - CLASSES]
-                held.append((e, (len(words), known, float(total), float(inside), list(other), list(other.values()))))
+                numbers, missing, e = numbered(words, vocabulary)
+                other = Counter(words[i] for i in missing.tolist())
+                known = numbers[numbers >= 0]
+                rest = float(inside[known].sum() - whole[e.classes].sum())
+                held.append((e, (len(words), len(known), float(logs[known].sum()), rest, list(other), list(other.values()))))
                 size += len(words)
                 if size >= most:
                     out += scored(held)
@@ -417,16 +406,17 @@ def _scorer(shared, most: int = 400_000):
 def score_documents(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    The rows where the column held_out isn't true are learned from: their words are counted, and spans of them train the model. score is the log10 probability of
+    The rows where the column held_out isn't true are learned from: their words are counted, and all of them train the model. score is the log10 probability of
     the whole text with its end: of each token the class given all before it, times the word in the class: given all before it for the most frequent words,
     else (count + 1) / (sum of count + 1 over the class's words, and 1), with unknown words as one word. base_score is the unigram one. Null texts are empty
     and have the end alone; rows with a null id are learned from; without training rows all words are unknown; empty tables give no rows.
     """
     rows = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")).alias("row"), F.col(text).alias("text"))
-    gathered = written(rows.where("not row.held_out").select("row.doc_id", "text").mapInArrow(_gather, _GATHERED), "gathered", ("kind",))
-    counts = written(gathered.where("kind = 0").groupBy("word", "shape").agg(F.sum("n").alias("c")), "counts")
+    learned = rows.where("not row.held_out").select("text", F.pmod(F.xxhash64("row.doc_id", "text"), F.lit(ROUNDS)).alias("round"))
+    found = learned.select("text").mapInArrow(_count, "word binary, shape int, n long")
+    counts = written(found.groupBy("word", "shape").agg(F.sum("n").alias("c")), "counts")
     vocabulary = vocabulary_of(counts)
-    model = fit(gathered.where("kind = 1"), vocabulary)
+    model = fit(learned, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((model, vocabulary))
     scored = rows.mapInArrow(_scorer(shared), T.StructType([rows.schema["row"], *_SCORED.fields]))
     scored = written(scored.withColumn("id", F.monotonically_increasing_id()), "scored")

@@ -33,11 +33,12 @@ def plain_base(docs):
 def small():
     """A vocabulary and a model of it, as the driver makes them, and coded texts."""
     rng = random.Random(1)
-    known = {w: 3000 - i for i, w in enumerate([b"", *(f"w{k}".encode() for k in range(1200))])}
-    heads = {w: i for i, w in enumerate(list(known)[: lm.CLASSES * lm.MEMBERS])}
-    counts = np.array([float(known[w]) for w in heads])
-    vocabulary = lm.Vocabulary(heads, known, np.concatenate((counts.reshape(lm.CLASSES, -1).sum(1), np.full(lm.SHAPES, 50.0))), counts, np.full(lm.SHAPES, 3.0), sum(known.values()), len(known))
-    texts = [lm.encode([*(f"w{rng.randrange(1300)}".encode() for _ in range(rng.randint(0, 90))), b""], heads) for _ in range(30)]
+    known = {w: 3000 - i for i, w in enumerate([b"", *(f"w{k}".encode() for k in range(2200))])}
+    n = lm.CLASSES * lm.MEMBERS
+    counts = np.array(list(known.values()), float)[:n]
+    targets = np.array([i // lm.MEMBERS if i < n else lm.CLASSES + lm.shape(w) for i, w in enumerate(known)], np.int32)
+    vocabulary = lm.Vocabulary({w: i for i, w in enumerate(known)}, np.array(list(known.values()), float), targets, np.concatenate((counts.reshape(lm.CLASSES, -1).sum(1), np.full(lm.SHAPES, 50.0))), counts, np.full(lm.SHAPES, 3.0), sum(known.values()), len(known))
+    texts = [lm.encode([*(f"w{rng.randrange(2300)}".encode() for _ in range(rng.randint(0, 90))), b""], vocabulary) for _ in range(30)]
     return vocabulary, lm.Model.initial(vocabulary), texts
 
 
@@ -90,10 +91,12 @@ def test_probabilities_add_up_to_one(small):
 
 def test_training_learns_an_order(small):
     vocabulary, model, _ = small
-    texts = [lm.encode([f"w{k % 7}".encode() for k in range(i, i + 60)] + [b""], vocabulary.heads) for i in range(40)]
+    texts = [lm.encode([f"w{k % 7}".encode() for k in range(i, i + 60)] + [b""], vocabulary) for i in range(40)]
     before = lm.log_likelihoods(model, texts).sum()
-    trained, steps = lm.train(model, texts, 60, 8, 0.01)
-    assert steps > 60 and lm.log_likelihoods(trained, texts).sum() > 0.3 * before
+    trainer = lm.Trainer(model, 0.01, 8)
+    for _ in range(60):
+        trainer.learn(texts)
+    assert trainer.steps > 60 and lm.log_likelihoods(trainer.model, texts).sum() > 0.3 * before
 
 
 def test_base_and_edge_rows(spark):
