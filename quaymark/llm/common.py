@@ -36,10 +36,21 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it back, so lost executors cost no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quaymark/{name}-{uuid.uuid4().hex}"
+    spark._quaymark_written = [*getattr(spark, "_quaymark_written", []), path]
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Deletes the tables that written() has made in this session, once the results that read them are stored; returns their number."""
+    paths, spark._quaymark_written = getattr(spark, "_quaymark_written", []), []
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) links of long ids -> (node, component) for every node that isn't the smallest of its component.
 
