@@ -81,3 +81,13 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     if members is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members
+
+
+def merged_components(members: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
+    """Members, as of connected_components(), after further (a, b) links: only components that these join are worked on."""
+    of = lambda n: members.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = connected_components(between, name)
+    moved = more.select(F.col("node").alias("component"), F.col("component").alias("parent"))
+    kept = members.join(moved, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+    return written(kept.unionByName(more), f"{name}-members")

@@ -1,6 +1,7 @@
 import os
+import random
 
-from quaymark.llm.common import connected_components, remove_written, written
+from quaymark.llm.common import connected_components, merged_components, remove_written, written
 
 
 def test_components_of_chains_and_stars(spark):
@@ -10,6 +11,16 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_further_links(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(50)]
+    df = lambda x: spark.createDataFrame(x, "a long, b long")
+    want = {r.node: r.component for r in connected_components(df(links)).collect()}
+    for cut in (0, 20, 50):
+        rows = merged_components(connected_components(df(links[:cut])), df(links[cut:])).collect()
+        assert {r.node: r.component for r in rows} == want and len(rows) == len(want)
+
+
 def test_written_tables_can_be_removed(spark):
     df = written(spark.range(3).toDF("n"), "kept")
     path = spark._quaymark_written[-1]
