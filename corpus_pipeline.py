@@ -27,15 +27,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup on shingles of five words: of each group the document with the smallest id stays."""
-    gone = minhash.near_duplicates(docs.select("doc_id", "text"), shingle_words=5).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """MinHash near-dedup on shingles of five words: of each group the document with the smallest id stays. Texts of one id are one document, so they go
+    or stay together; rows without an id go if their text is another document's."""
+    gone = minhash.near_duplicates(docs.select("doc_id", "text"), shingle_words=5).where("not kept").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with words of a benchmark window go."""
     rows = docs.select(F.struct("*").alias("_row"), "text")
-    found = decontamination.find_contamination(rows, table(spark, sf_dir, "benchmark"), ["_row"], with_spans=False)
+    found = decontamination.find_contamination(rows, table(spark, sf_dir, "benchmark"), ["_row"])
     return found.where("n_hit = 0").select("_row.*")
 
 
