@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, license_scans, line_dedup, lm_scoring, minhash, quality_rules, sentencepieces, suffix_dedup, url_filters
+from . import decontamination, html_text, license_scans, line_dedup, lm_scoring, minhash, phrases, quality_rules, sentencepieces, suffix_dedup, url_filters
 from .common import table
 
 #: (host, path, allow); the names in results are host and path.
@@ -70,3 +70,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

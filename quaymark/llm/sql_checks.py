@@ -123,3 +123,26 @@ c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
 """
+
+
+#: 2,000 phrases of each language by the score of their worst cut.
+OP11 = f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS rid, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+c AS (SELECT lang, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, k, count(*) AS n FROM i, range(1, 6) AS r(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+f AS (SELECT * FROM c WHERE n >= 100),
+total AS (SELECT lang, sum(n) AS n FROM c WHERE k = 1 GROUP BY lang),
+cut AS (SELECT f.lang, f.phrase, f.n AS a, cuts.k AS cut, l.n AS l, r.n AS r, total.n AS n,
+               (1000::HUGEINT * f.n * total.n) // (l.n::HUGEINT * r.n) AS score
+        FROM f JOIN range(1, 5) AS cuts(k) ON cuts.k < f.k
+        JOIN f AS l ON l.lang = f.lang AND l.phrase = array_to_string(list_slice(string_split(f.phrase, ' '), 1, cuts.k), ' ')
+        JOIN f AS r ON r.lang = f.lang AND r.phrase = array_to_string(list_slice(string_split(f.phrase, ' '), cuts.k + 1, f.k), ' ')
+        JOIN total ON total.lang = f.lang WHERE f.k > 1),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+gone AS (SELECT DISTINCT s.lang, s.phrase FROM f AS s JOIN f AS b ON s.lang = b.lang AND b.k > s.k AND s.k > 1 AND 100 * b.n >= 100 * s.n AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')),
+kept AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = best.lang AND gone.phrase = best.phrase))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""

@@ -30,7 +30,7 @@ def plain(docs, k, percent=80):
 
 def run(spark, docs, k=4):
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, component_id int")
-    return {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(df, k).collect()}
+    return {r.doc_id: tuple(r)[1:4] for r in minhash.near_duplicates(df, k).collect()}
 
 
 def varied(rng, words, text, n):
