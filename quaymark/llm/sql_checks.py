@@ -146,3 +146,25 @@ kept AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM kept QUALIFY rank <= 2000
 """
+
+#: CRC-32 is computed byte by byte and bit by bit.
+OP12 = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS bytes FROM t),
+h AS (SELECT conv_id, base, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
+             lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295) % 4 AS h FROM c),
+r AS (SELECT h.conv_id, t.pos, t.role, t.text FROM h JOIN t ON t.conv_id = h.base AND t.pos <= h.h
+      UNION ALL SELECT h.conv_id, t.pos, t.role, t.text FROM h JOIN t ON t.conv_id = h.conv_id AND t.pos > h.h),
+s AS (SELECT h.conv_id, coalesce(list({'role': r.role, 'text': r.text} ORDER BY r.pos) FILTER (WHERE r.pos IS NOT NULL), []) AS turns FROM h LEFT JOIN r ON r.conv_id = h.conv_id GROUP BY h.conv_id),
+n AS (SELECT list_slice(turns, 1, d) AS p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = d), '')) AS ends_sha256
+      FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM s) GROUP BY 1, 2),
+k AS (SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
+             CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(string_split_regex(p[depth].text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) END AS saved FROM n LEFT JOIN k ON k.p = n.p),
+u AS (SELECT list_slice(p, 1, d) AS p, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT p, saved, n_children, unnest(range(0, depth + 1)) AS d FROM m) GROUP BY 1)
+SELECT m.conv_id, m.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves,
+       u.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN u ON u.p = m.p LEFT JOIN m AS parent ON m.depth > 0 AND parent.p = list_slice(m.p, 1, m.depth - 1)
+"""
