@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, decontamination, html_text, license_scans, line_dedup, lm_scoring, minhash, phrases, quality_rules, sentencepieces, suffix_dedup, url_filters
+from . import conversation_trie, decontamination, html_text, jaccard_join, license_scans, line_dedup, lm_scoring, minhash, phrases, quality_rules, sentencepieces, suffix_dedup, url_filters
 from .common import table
 
 #: (host, path, allow); the names in results are host and path.
@@ -79,3 +79,7 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_trie.turns_in_order(table(spark, sf_dir, "conversations"))
     return conversation_trie.prefix_trie(conversation_trie.sequences(conversation_trie.rebuilt(turns)))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"))

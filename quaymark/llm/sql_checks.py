@@ -147,6 +147,19 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept QUALIFY rank <= 2000
 """
 
+OP13 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_TOKENS.format(t="text")} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(ws, s, s + 3), ' ')) AS x
+       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS s FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (x) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
+"""
+
 #: CRC-32 is computed byte by byte and bit by bit.
 OP12 = """
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -162,7 +175,7 @@ n AS (SELECT list_slice(turns, 1, d) AS p, d AS depth, min(conv_id) AS conv_id,
       FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM s) GROUP BY 1, 2),
 k AS (SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
 m AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
-             CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(string_split_regex(p[depth].text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) END AS saved FROM n LEFT JOIN k ON k.p = n.p),
+             CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(string_split_regex(n.p[depth].text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) END AS saved FROM n LEFT JOIN k ON k.p = n.p),
 u AS (SELECT list_slice(p, 1, d) AS p, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT p, saved, n_children, unnest(range(0, depth + 1)) AS d FROM m) GROUP BY 1)
 SELECT m.conv_id, m.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves,
        u.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
