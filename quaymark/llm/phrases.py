@@ -15,7 +15,8 @@ from .common import LOWER, UPPER, written
 
 #: Words of the longest phrase.
 LONGEST = 5
-#: Word pairs are counted in so many slots first, each up to 255: a pair in a rarer slot is rare itself. The slots that pass are one bit each, 512 KB in all.
+#: Word pairs, and then triples of pairs that pass, are counted in so many slots first, each up to 255: what is in a rarer slot is rare itself. The slots that pass are
+#: one bit each, 512 KB in all.
 SLOTS, SLOT_BLOCK = 1 << 22, 1 << 12
 #: A task's dictionary and its rows are sent on at this size.
 DICTIONARY, BUFFER = 500_000, 1_000_000
@@ -24,6 +25,7 @@ LANE_ROWS = 200_000
 
 _SPLIT = bytes.maketrans(UPPER.encode() + b",;:!?\x0a\x0b\x0c\x0d", LOWER.encode() + b"." * 9)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_COUNTED = "kind int, lang string, id long, word string, n long, slots binary"
 _WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
@@ -81,6 +83,17 @@ def pair_slots(ids: np.ndarray, lang: int) -> np.ndarray:
     return np.where((a > 0) & (b > 0), (h & np.uint64(SLOTS - 1)).astype(np.int64), SLOTS)
 
 
+def triple_slots(ids: np.ndarray, lang: int, pairs: np.ndarray) -> np.ndarray:
+    """The slot of each word with the next two; SLOTS unless both pairs pass."""
+    goes = pairs[pair_slots(ids, lang)]
+    with np.errstate(over="ignore"):
+        h = (ids[:-2] ^ np.uint64(lang)) * _Q
+        h = ((h ^ (h >> np.uint64(30))) + ids[1:-1]) * _P
+        h = ((h ^ (h >> np.uint64(28))) + ids[2:]) * _Q
+        h ^= h >> np.uint64(31)
+    return np.where(goes[:-1] & goes[1:], (h & np.uint64(SLOTS - 1)).astype(np.int64), SLOTS)
+
+
 def _lang_id(lang: str) -> int:
     return xxhash.xxh3_64_intdigest(lang)
 
@@ -118,13 +131,39 @@ def _counter():
                 dictionary, counts = Dictionary(), {}
         yield words_of(counts, dictionary, dictionary.hashes())
         yield _rows(1, list(totals), np.zeros(len(totals), np.int64), pa.nulls(len(totals), pa.string()), np.array(list(totals.values()), np.int64))
-        blocks = slots[:SLOTS].astype(np.uint8).reshape(-1, SLOT_BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield _rows(2, [None] * len(used), used, pa.nulls(len(used), pa.string()), np.zeros(len(used), np.int64), [blocks[i].tobytes() for i in used])
+        yield _blocks(slots)
 
     return run
 
 
+def _blocks(slots: np.ndarray) -> pa.RecordBatch:
+    blocks = slots[:SLOTS].astype(np.uint8).reshape(-1, SLOT_BLOCK)
+    used = np.flatnonzero(blocks.any(axis=1))
+    return _rows(2, [None] * len(used), used, pa.nulls(len(used), pa.string()), np.zeros(len(used), np.int64), [blocks[i].tobytes() for i in used])
+
+
+def _bits(passing: np.ndarray) -> np.ndarray:
+    """What passes, by slot; the slot SLOTS never does."""
+    return np.append(np.unpackbits(passing), 0).astype(bool)
+
+
+def _triples(texts: DataFrame, pairs) -> DataFrame:
+    """Rows of kind 2: blocks of the slot counts of triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionary, bits = Dictionary(), _bits(pairs.value)
+        slots = np.zeros(SLOTS + 1, np.uint32)
+        for batch in batches:
+            for lang, numbers in _numbers_by_lang(batch, dictionary):
+                place, n = np.unique(triple_slots(dictionary.hashes()[numbers], _lang_id(lang), bits), return_counts=True)
+                slots[place] = np.minimum(slots[place] + n, 255)
+            if len(dictionary) > DICTIONARY:
+                dictionary = Dictionary()
+        yield _blocks(slots)
+
+    return texts.mapInArrow(run, _COUNTED)
+
+
 def _rows(kind: int, langs: list, ids: np.ndarray, words: pa.Array, n: np.ndarray, slots: list | None = None) -> pa.RecordBatch:
     columns = [pa.array(np.full(len(langs), kind, np.int32)), pa.array(langs, pa.string()), pa.array(ids.astype(np.int64)), words, pa.array(n.astype(np.int64)), pa.array(slots, pa.binary()) if slots is not None else pa.nulls(len(langs), pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["kind", "lang", "id", "word", "n", "slots"])
@@ -148,9 +187,9 @@ def _passing(slots: DataFrame, least: int) -> np.ndarray:
     return out.ravel()
 
 
-def _suffixes(texts: DataFrame, passing) -> DataFrame:
-    """(lang, w1..w5, weight): the suffixes that start with two words of a passing slot, cut to LONGEST words, to their piece and to where pairs pass; equal ones of a
-    task are one row with their number. 0 stands for no word."""
+def _suffixes(texts: DataFrame, pairs, triples) -> DataFrame:
+    """(lang, w1..w5, weight): the suffixes that start with two words of a passing slot, cut to LONGEST words, to their piece and to where triples pass; equal ones
+    are one row with their number. 0 stands for no word."""
 
     def combined(parts: list) -> Iterator[pa.RecordBatch]:
         names = sorted({lang for lang, _ in parts})
@@ -172,18 +211,18 @@ def _suffixes(texts: DataFrame, passing) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary, parts, size = Dictionary(), [], 0
-        bits = np.append(np.unpackbits(passing.value), 0).astype(bool)
+        of_pairs, of_triples = _bits(pairs.value), _bits(triples.value)
         for batch in batches:
             for lang, numbers in _numbers_by_lang(batch, dictionary):
                 ids = dictionary.hashes()[numbers]
-                goes = np.append(bits[pair_slots(ids, _lang_id(lang))], np.zeros(LONGEST, bool))
-                at = np.flatnonzero(goes)
+                goes = np.append(of_triples[triple_slots(ids, _lang_id(lang), of_pairs)], np.zeros(LONGEST, bool))
+                at = np.flatnonzero(of_pairs[pair_slots(ids, _lang_id(lang))])
                 if len(at):
                     words = np.zeros((len(at), LONGEST), np.uint64)
                     words[:, 0], words[:, 1] = ids[at], ids[at + 1]
                     on = np.ones(len(at), bool)
                     for k in range(2, LONGEST):
-                        on &= goes[at + k - 1]
+                        on &= goes[at + k - 2]
                         words[on, k] = ids[at[on] + k]
                     parts.append((lang, words))
                     size += len(at)
@@ -195,7 +234,8 @@ def _suffixes(texts: DataFrame, passing) -> DataFrame:
         if parts:
             yield from combined(parts)
 
-    return texts.mapInArrow(run, f"lang string, {', '.join(w + ' long' for w in _WORDS)}, weight long")
+    rows = texts.mapInArrow(run, f"lang string, {', '.join(w + ' long' for w in _WORDS)}, weight long")
+    return rows.groupBy("lang", *_WORDS).agg(F.sum("weight").alias("weight"))
 
 
 def counted_prefixes(words: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -299,11 +339,13 @@ def collocations(docs: DataFrame, least: int = 100, percent: int = 100, most: in
     Words are 64-bit hashes until the end; sums are exact (decimals of 38 digits). A language of empty texts, and an empty table, give no rows.
     """
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    counted = written(texts.mapInArrow(_counter(), "kind int, lang string, id long, word string, n long, slots binary"), "words", ("kind",))
+    counted = written(texts.mapInArrow(_counter(), _COUNTED), "words", ("kind",))
     words = written(counted.where("kind = 0").groupBy("lang", "id", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "frequent-words")
     totals = counted.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    passing = docs.sparkSession.sparkContext.broadcast(_passing(counted.where("kind = 2"), least))
-    suffixes = written(_suffixes(texts, passing), "suffixes")
+    sent = docs.sparkSession.sparkContext.broadcast
+    pairs = sent(_passing(counted.where("kind = 2"), least))
+    triples = sent(_passing(_triples(texts, pairs), least))
+    suffixes = written(_suffixes(texts, pairs, triples), "suffixes")
     phrases = written(frequent_phrases(suffixes, least), "phrases")
 
     parts = phrases.unionByName(words.select("lang", F.array("id").alias("words"), "n"))

@@ -66,8 +66,8 @@ def test_a_passage_in_a_third_of_all_rows_and_a_very_long_text(spark):
 def test_hot_leading_words_are_routed_by_more_words(spark):
     rows = corpus(3)
     df = spark.createDataFrame([(r[2] or "und", r[1]) for r in rows], "lang string, text string")
-    bits = np.full(phrases.SLOTS // 8, 255, np.uint8)
-    suffixes = phrases._suffixes(df, spark.sparkContext.broadcast(bits)).cache()
+    bits = spark.sparkContext.broadcast(np.full(phrases.SLOTS // 8, 255, np.uint8))
+    suffixes = phrases._suffixes(df, bits, bits).cache()
     whole = phrases.frequent_phrases(suffixes, 10)
     rows_of = lambda x: {(r.lang, tuple(r.words), r.n) for r in x.collect()}
     expected = rows_of(whole)
