@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.plans import bar_queries, study_queries  # noqa: F401  (the second registers its queries with the first)
+from quaymark.plans import bar_queries, stream_queries, study_queries  # noqa: F401  (the others register their queries with the first)
 
 
 def _all() -> list[tuple[str, Callable, str | None]]:

@@ -40,10 +40,19 @@ def triple_barrier(bars: DataFrame, step_ms: int, configs: Sequence[tuple[float,
     """One row for each bar and (width, horizon) of configs: width, horizon, label, hit, exit_ms, exit_close, elapsed (minutes). A bar without horizon bars ahead
     in its segment is invalid. The bars ahead are collected once, for the longest horizon: at most that many a row."""
     longest = max(h for _, h in configs)
-    rows = local_segments(in_buckets(bars, step_ms, 0, longest, bucket_bars), step_ms).withColumn("_ahead", _ahead(longest)).where("own")
+    return touches(local_segments(in_buckets(bars, step_ms, 0, longest, bucket_bars), step_ms), configs).select(*bars.columns, *TOUCHED)
+
+
+TOUCHED = ("width", "horizon", "label", "hit", "exit_ms", "exit_close", "elapsed")
+
+
+def touches(rows: DataFrame, configs: Sequence[tuple[float, int]]) -> DataFrame:
+    """triple_barrier() of the own bars of rows with instrument, bucket, seg and own, whose buckets hold the bars ahead."""
+    longest = max(h for _, h in configs)
+    ahead = rows.withColumn("_ahead", _ahead(longest)).where("own")
     cells = [F.struct(F.lit(float(w)).alias("width"), F.lit(h).alias("horizon"), _touch(F.lit(float(w)), h, F.slice("_ahead", 1, h)).alias("t")) for w, h in configs]
-    out = rows.withColumn("_c", F.explode(F.array(*cells)))
-    return out.select(*bars.columns, "_c.width", "_c.horizon", "_c.t.label", "_c.t.hit", "_c.t.exit_ms", "_c.t.exit_close", ((F.col("_c.t.exit_ms") - F.col("ts_ms")) / 60_000).alias("elapsed"))
+    out = ahead.withColumn("_c", F.explode(F.array(*cells)))
+    return out.select(*rows.columns, "_c.width", "_c.horizon", "_c.t.label", "_c.t.hit", "_c.t.exit_ms", "_c.t.exit_close", ((F.col("_c.t.exit_ms") - F.col("ts_ms")) / 60_000).alias("elapsed"))
 
 
 def trailing_volatility(r: Rolling, n: int) -> dict[str, Column]:

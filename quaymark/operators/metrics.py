@@ -113,7 +113,9 @@ def brier(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def calibration(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return rows.withColumn("bin", decile(F.col("p"))).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("rate"))
+    """Rows, mean probability and rate of each decile. Probabilities are added up with nine decimals, exactly, so the mean doesn't depend on their order."""
+    mean = F.sum(F.col("p").cast("decimal(20,9)")).cast("double") / F.count("p")
+    return rows.withColumn("bin", decile(F.col("p"))).groupBy(*by, "bin").agg(F.count("*").alias("n"), mean.alias("mean_p"), F.avg(F.col("y").cast("double")).alias("rate"))
 
 
 def feature_auc(rows: DataFrame, features: Sequence[str], by: Sequence[str] = (), least_rows: int = 100) -> DataFrame:

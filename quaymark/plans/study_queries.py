@@ -221,7 +221,7 @@ def _(spark, d):
 _EDGES = " + ".join(f"CAST(prob >= {i}::DOUBLE * 0.1::DOUBLE AS INT)" for i in range(1, 10))
 
 
-@query("x12_calibration", _score_sql(f"SELECT instrument, {_EDGES} AS bin, count(*) AS n, avg(prob) AS mean_p, avg(up) AS rate FROM sc GROUP BY 1, 2"), "mean_p rate")
+@query("x12_calibration", _score_sql(f"SELECT instrument, {_EDGES} AS bin, count(*) AS n, CAST(sum(CAST(prob AS DECIMAL(20,9))) AS DOUBLE) / count(prob) AS mean_p, avg(up) AS rate FROM sc GROUP BY 1, 2"), "mean_p rate")
 def _(spark, d):
     return metrics.calibration(_binary(spark, d), ["instrument"])
 

@@ -1,4 +1,4 @@
-"""Bars and audits of event streams by Structured Streaming: state carries over batches, watermarks hold back and close, checkpoints make the output exactly-once."""
+"""Bars and sessions of event streams by Structured Streaming: state carries over batches, watermarks hold back and close, checkpoints make the output exactly-once."""
 
 from __future__ import annotations
 
