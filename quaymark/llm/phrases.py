@@ -20,13 +20,12 @@ LONGEST = 5
 SLOTS, SLOT_BLOCK = 1 << 22, 1 << 12
 #: A task's dictionary and its rows are sent on at this size.
 DICTIONARY, BUFFER = 500_000, 1_000_000
-#: A shard takes leading words of up to so many rows whole; those of more rows are routed by one word more.
-LANE_ROWS = 200_000
+#: Buckets of leading words for each shuffle partition. A bucket of more rows than LANE_ROWS is dealt anew by one word more.
+BUCKETS, LANE_ROWS = 4, 500_000
 
 _SPLIT = bytes.maketrans(UPPER.encode() + b",;:!?\x0a\x0b\x0c\x0d", LOWER.encode() + b"." * 9)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _COUNTED = "kind int, lang string, id long, word string, n long, slots binary"
-_WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
 class Dictionary(dict):
@@ -187,27 +186,52 @@ def _passing(slots: DataFrame, least: int) -> np.ndarray:
     return out.ravel()
 
 
-def _suffixes(texts: DataFrame, pairs, triples) -> DataFrame:
-    """(lang, w1..w5, weight): the suffixes that start with two words of a passing slot, cut to LONGEST words, to their piece and to where triples pass; equal ones
-    are one row with their number. 0 stands for no word."""
+_BLOCK = "bucket long, lang string, n long, words array<long>, weights array<long>"
 
-    def combined(parts: list) -> Iterator[pa.RecordBatch]:
+
+def _hashed(lang: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
+    """A hash of the language's number and the first `depth` words of each row."""
+    with np.errstate(over="ignore"):
+        h = lang.astype(np.uint64) * _Q
+        for k in range(depth):
+            h = (h ^ words[:, k]) * _P
+            h ^= h >> np.uint64(29)
+    return h
+
+
+def _blocks_of(lang: np.ndarray, words: np.ndarray, weight: np.ndarray, names: list[str], depth: int, buckets: int) -> pa.RecordBatch:
+    """The rows in blocks, one for each language and bucket; buckets go by the first `depth` words, so equal leading words meet in one, whatever task they come from."""
+    ids = np.array([_lang_id(x) for x in names], np.uint64)
+    bucket = (_hashed(ids[lang], words, depth) >> np.uint64(24)) % np.uint64(buckets)
+    order = np.lexsort((lang, bucket))
+    lang, words, weight, bucket = lang[order], words[order], weight[order], bucket[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(lang), 1), bool), (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1]))))
+    ends = np.append(first, len(lang)).astype(np.int32)
+    listed = lambda values, each: pa.ListArray.from_arrays(pa.array(ends * each), pa.array(values))
+    columns = [pa.array(bucket[first]), pa.array([names[i] for i in lang[first]], pa.string()), pa.array(np.diff(ends).astype(np.int64)), listed(words.view(np.int64).ravel(), LONGEST), listed(weight.astype(np.int64), 1)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "lang", "n", "words", "weights"])
+
+
+def _unblocked(batch: pa.RecordBatch, langs: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows (language's number, words, weight) of blocks; langs gets the numbers."""
+    code = np.array([langs.setdefault(x, len(langs)) for x in batch.column("lang").to_pylist()], np.int64)
+    words = batch.column("words").flatten().to_numpy().reshape(-1, LONGEST).view(np.uint64)
+    return np.repeat(code, batch.column("n").to_numpy()), words, batch.column("weights").flatten().to_numpy()
+
+
+def _suffixes(texts: DataFrame, pairs, triples, buckets: int) -> DataFrame:
+    """Blocks of suffixes (w1..w5, 0 for no word) with their number: those that start with two words of a passing slot, cut to LONGEST words, to their piece and to
+    where triples pass. A task sums equal ones, and sends what goes to a bucket as one block."""
+
+    def combined(parts: list) -> pa.RecordBatch:
         names = sorted({lang for lang, _ in parts})
         lang = np.concatenate([np.full(len(w), names.index(x), np.int64) for x, w in parts])
         words = np.concatenate([w for _, w in parts])
-        with np.errstate(over="ignore"):
-            h = lang.astype(np.uint64)
-            for k in range(LONGEST):
-                h = (h ^ words[:, k]) * _P
-                h ^= h >> np.uint64(29)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(_hashed(lang, words, LONGEST), kind="stable")
         lang, words = lang[order], words[order]
         # rows that differ in spite of equal hashes only stay apart
         first = np.flatnonzero(np.concatenate(([True], (lang[1:] != lang[:-1]) | (words[1:] != words[:-1]).any(axis=1))))
-        weight = np.diff(np.append(first, len(lang)))
-        columns = [pa.DictionaryArray.from_arrays(pa.array(lang[first].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())]
-        columns += [pa.array(words[first, k].view(np.int64)) for k in range(LONGEST)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(weight)], names=["lang", *_WORDS, "weight"])
+        return _blocks_of(lang[first], words[first], np.diff(np.append(first, len(lang))), names, 2, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary, parts, size = Dictionary(), [], 0
@@ -227,15 +251,14 @@ def _suffixes(texts: DataFrame, pairs, triples) -> DataFrame:
                     parts.append((lang, words))
                     size += len(at)
                 if size > BUFFER:
-                    yield from combined(parts)
+                    yield combined(parts)
                     parts, size = [], 0
             if len(dictionary) > DICTIONARY:
                 dictionary = Dictionary()
         if parts:
-            yield from combined(parts)
+            yield combined(parts)
 
-    rows = texts.mapInArrow(run, f"lang string, {', '.join(w + ' long' for w in _WORDS)}, weight long")
-    return rows.groupBy("lang", *_WORDS).agg(F.sum("weight").alias("weight"))
+    return texts.mapInArrow(run, _BLOCK)
 
 
 def counted_prefixes(words: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -262,70 +285,93 @@ def counted_prefixes(words: np.ndarray, weight: np.ndarray, least: int) -> Itera
                     stack.append((part, depth))
 
 
-def _sharded(rows: DataFrame, least: int) -> DataFrame:
-    """(lang, words, n) of the phrases in rows that are routed by leading words, so that all suffixes with a phrase of at least `depth` words are in one shard."""
+_PHRASE = "lang string, words array<long>, n long"
+
+
+def _phrases_of(found: list[tuple[str, list[int], int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in found], pa.string()), "words": pa.array([x[1] for x in found], pa.list_(pa.int64())), "n": pa.array([x[2] for x in found], pa.int64())})
+
+
+def _sharded(blocks: DataFrame, depth: int, least: int) -> DataFrame:
+    """(lang, words, n) of the phrases of `depth` words or more; blocks are those of all tasks, so a bucket has all suffixes with its leading words. A task sorts bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs: dict[str, int] = {}
+
         def counted(parts: list[tuple]) -> pa.RecordBatch:
-            code, words, weight, depth = (np.concatenate(x) for x in zip(*parts))
+            code, words, weight = (np.concatenate(x) for x in zip(*parts))
             names = list(langs)
-            table = np.column_stack([code.astype(np.uint64) + np.uint64(1), words.view(np.uint64)])
-            found = [(names[code[row]], words[row, : size - 1].tolist(), n) for row, size, n in counted_prefixes(table, weight, least) if size > depth[row]]
-            return pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in found], pa.string()), "words": pa.array([x[1] for x in found], pa.list_(pa.int64())), "n": pa.array([x[2] for x in found], pa.int64())})
+            table = np.column_stack([code.astype(np.uint64) + np.uint64(1), words])
+            return _phrases_of([(names[code[row]], words[row, : size - 1].view(np.int64).tolist(), n) for row, size, n in counted_prefixes(table, weight, least) if size > depth])
 
-        parts, size, last, langs = [], 0, None, {}
+        parts, last = [], None
         for batch in batches:
-            route = batch.column(0).to_numpy()
-            values = (
-                np.array([langs.setdefault(x, len(langs)) for x in batch.column(1).to_pylist()], np.int64),
-                np.column_stack([batch.column(k).to_numpy() for k in range(2, 2 + LONGEST)]),
-                batch.column(2 + LONGEST).to_numpy(),
-                batch.column(3 + LONGEST).to_numpy(),
-            )
-            if not len(route):
-                continue
-            # what is held may be counted where a route ends
-            borders = np.flatnonzero(np.concatenate(([route[0] != last], route[1:] != route[:-1])))
-            start = 0
-            for end in [*borders, len(route)]:
-                if end > start:
-                    parts.append(tuple(v[start:end] for v in values))
-                    size += end - start
-                start = end
-                if size >= LANE_ROWS and end < len(route):
+            bucket = batch.column("bucket").to_numpy()
+            borders = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            for start, end in zip([0, *borders], [*borders, len(bucket)]):
+                if start == end:
+                    continue
+                if parts and bucket[start] != last:
                     yield counted(parts)
-                    parts, size = [], 0
-            last = route[-1]
+                    parts = []
+                last = bucket[start]
+                parts.append(_unblocked(batch.slice(start, end - start), langs))
         if parts:
             yield counted(parts)
 
-    routed = rows.repartition("route").sortWithinPartitions("route")
-    return routed.select("route", "lang", *_WORDS, "weight", "depth").mapInArrow(run, "lang string, words array<long>, n long")
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PHRASE)
+
+
+def _heads(blocks: DataFrame, depth: int, least: int) -> DataFrame:
+    """(lang, words, n) of the phrases of just `depth` words: tasks sum their own, Spark the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs: dict[str, int] = {}
+        for batch in batches:
+            code, words, weight = _unblocked(batch, langs)
+            if len(code):
+                names = list(langs)
+                table = np.column_stack([code.astype(np.uint64) + np.uint64(1), words[:, :depth]])
+                yield _phrases_of([(names[code[row]], words[row, :depth].view(np.int64).tolist(), n) for row, size, n in counted_prefixes(table, weight, 1) if size == depth + 1])
+
+    return blocks.mapInArrow(run, _PHRASE).groupBy("lang", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def _routed_on(blocks: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """The blocks dealt anew by `depth` leading words; shorter suffixes have no further phrase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs: dict[str, int] = {}
+        for batch in batches:
+            code, words, weight = _unblocked(batch, langs)
+            long = words[:, depth - 1] != 0
+            yield _blocks_of(code[long], words[long], weight[long], list(langs), depth, buckets)
+
+    return blocks.mapInArrow(run, _BLOCK)
 
 
-def frequent_phrases(suffixes: DataFrame, least: int, lane_rows: int | None = None) -> DataFrame:
+def frequent_phrases(blocks: DataFrame, least: int, buckets: int, lane_rows: int | None = None) -> DataFrame:
     """(lang, words, n) of all phrases of 2 to LONGEST words that occur `least` times; words are ids.
 
-    Leading words are counted over all tasks: suffixes whose leading pair is rarer are abandoned there, the others go to the shard of their leading pair.
-    Where a pair has more than lane_rows (LANE_ROWS) rows, its count is taken from these sums and its suffixes are routed by three leading words, and so on.
+    A bucket has the suffixes of its leading pairs from all tasks, which the shards sort. Where a bucket has more than lane_rows (LANE_ROWS) rows, its phrases of two words are
+    summed by Spark, its suffixes are dealt to other buckets by three leading words, and so on; so no task gets much more than lane_rows rows, whatever a pair's share.
     """
     lane_rows = LANE_ROWS if lane_rows is None else lane_rows
-    found, routed, rest = [], [], suffixes
+    found = []
     for depth in range(2, LONGEST + 1):
-        keys = ["lang", *_WORDS[:depth]]
-        leads = rest.where(F.col(_WORDS[depth - 1]) != 0).groupBy(*keys).agg(F.sum("weight").alias("n"), F.count("*").alias("n_rows")).where(F.col("n") >= least)
-        leads = written(leads, "leads")
-        # all rows of the longest phrase are the phrase, so nothing is left to sort
-        hot = leads if depth == LONGEST else leads.where(F.col("n_rows") > lane_rows)
-        found.append(hot.select("lang", F.array(*_WORDS[:depth]).alias("words"), "n"))
         if depth == LONGEST:
+            # all that is left is of one phrase
+            found.append(_heads(blocks, depth, least))
             break
-        cool = rest.join(leads.where(F.col("n_rows") <= lane_rows).select(*keys), keys, "left_semi")
-        routed.append(cool.withColumns({"route": F.xxhash64(*keys), "depth": F.lit(depth)}))
-        if hot.isEmpty():
+        sizes = written(blocks.groupBy("bucket").agg(F.sum("n").alias("n_rows")).where(F.col("n_rows") > lane_rows).select("bucket"), "hot-buckets")
+        if sizes.isEmpty():
+            found.append(_sharded(blocks, depth, least))
             break
-        rest = written(rest.join(hot.select(*keys), keys, "left_semi"), "hot-suffixes")
-    return reduce(DataFrame.unionByName, [_sharded(reduce(DataFrame.unionByName, routed), least), *found])
+        found.append(_sharded(blocks.join(sizes, "bucket", "left_anti").select(*blocks.columns), depth, least))
+        hot = written(blocks.join(sizes, "bucket", "left_semi").select(*blocks.columns), "hot-suffixes")
+        found.append(_heads(hot, depth, least))
+        blocks = written(_routed_on(hot, depth + 1, buckets), "routed-suffixes")
+    return reduce(DataFrame.unionByName, found)
 
 
 def collocations(docs: DataFrame, least: int = 100, percent: int = 100, most: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -345,8 +391,9 @@ def collocations(docs: DataFrame, least: int = 100, percent: int = 100, most: in
     sent = docs.sparkSession.sparkContext.broadcast
     pairs = sent(_passing(counted.where("kind = 2"), least))
     triples = sent(_passing(_triples(texts, pairs), least))
-    suffixes = written(_suffixes(texts, pairs, triples), "suffixes")
-    phrases = written(frequent_phrases(suffixes, least), "phrases")
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    suffixes = written(_suffixes(texts, pairs, triples, buckets), "suffixes")
+    phrases = written(frequent_phrases(suffixes, least, buckets), "phrases")
 
     parts = phrases.unionByName(words.select("lang", F.array("id").alias("words"), "n"))
     size = F.size("words")
