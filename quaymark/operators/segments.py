@@ -61,9 +61,9 @@ def with_previous(rows: DataFrame, column: str, name: str, by: Sequence[str], or
     return rows.join(carried, [*by, "bucket"]).withColumn(name, F.coalesce(F.lag(F.struct(column)).over(w), F.col("_carried"))[column]).drop("_carried")
 
 
-def number_starts(rows: DataFrame, starts, name: str, by: Sequence[str] = ("instrument",)) -> DataFrame:
+def number_starts(rows: DataFrame, starts, name: str, by: Sequence[str] = ("instrument",), order: Sequence[str] = ("ts_ms",)) -> DataFrame:
     """Adds name: the running number (from 1) of rows of the instrument where starts holds. Needs bucket; only the buckets' counts are summed up in order."""
-    w = Window.partitionBy(*by, "bucket").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     counted = rows.withColumn("_start", starts.cast("int"))
     sums = counted.groupBy(*by, "bucket").agg(F.sum("_start").alias("_n"))
     before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

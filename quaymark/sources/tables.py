@@ -117,3 +117,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return "file://" + tempfile.mkdtemp(prefix="spark-quaymark-")
     return f"{place}/quaymark/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df into a shared folder and reads it back: what follows doesn't compute it again, also where an executor is lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(f"{path}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
