@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quaymark.functions.columns import at
 
+from .ranks import percentiles, same
+
 CODES = {"short": 0, "timeout": 1, "long": 2, "ambiguous": -1, "invalid": -2, "closed": -3}
 
 
@@ -30,11 +32,13 @@ def stability(yearly: DataFrame, columns: Sequence[str], by: Sequence[str]) -> D
 
 
 def rollup(results: DataFrame, by: Sequence[str], column: str) -> DataFrame:
-    return results.groupBy(*by).agg(F.count("*").alias("n"), F.sum(column).alias("total"), F.avg(column).alias("mean"), F.median(column).alias("median"), F.min(column).alias("min"), F.max(column).alias("max"))
+    plain = results.groupBy(*by).agg(F.count("*").alias("n"), F.sum(column).alias("total"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return same(plain, percentiles(results, column, {"median": 0.5}, by), by, "left" if by else "inner")
 
 
 def segment_statistics(segments: DataFrame, least: int, by: Sequence[str] = ("instrument",)) -> DataFrame:
-    return segments.groupBy(*by).agg(F.count("*").alias("n"), F.min("length").alias("shortest"), F.median("length").alias("median"), F.max("length").alias("longest"), F.count_if(F.col("length") >= least).alias("n_eligible"), F.sum(F.when(F.col("length") >= least, F.col("length")).otherwise(0)).alias("rows_eligible"))
+    plain = segments.groupBy(*by).agg(F.count("*").alias("n"), F.min("length").alias("shortest"), F.max("length").alias("longest"), F.count_if(F.col("length") >= least).alias("n_eligible"), F.sum(F.when(F.col("length") >= least, F.col("length")).otherwise(0)).alias("rows_eligible"))
+    return same(plain, percentiles(segments, "length", {"median": 0.5}, by), by, "left" if by else "inner")
 
 
 def run_histogram(runs: DataFrame, thresholds: Sequence[int], by: Sequence[str] = ("instrument",)) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quaymark.functions.columns import decile
 
+from .ranks import percentiles, same, sums_before
+
 
 def regression(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     y, p = F.col("y"), F.col("p")
@@ -23,16 +25,17 @@ def regression(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def summary(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(*by).agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(column).alias("max"))
+    plain = rows.groupBy(*by).agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    both = same(plain, percentiles(rows, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by), by, "left" if by else "inner")
+    return both.select(*by, "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def distribution(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    points = (1, 5, 10, 25, 50, 75, 90, 95, 99)
-    q = F.percentile(column, F.array(*[F.lit(x / 100) for x in points]))
+    points = {f"p{x}": x / 100 for x in (1, 5, 10, 25, 50, 75, 90, 95, 99)}
     share = lambda c: (100.0 * F.avg(c.cast("double")))
     c = F.col(column)
-    return rows.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), share(c > 0).alias("up_pct"), share(c < 0).alias("down_pct"), share(c == 0).alias("flat_pct"), *[q[i].alias(f"p{x}") for i, x in enumerate(points)])
+    plain = rows.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), share(c > 0).alias("up_pct"), share(c < 0).alias("down_pct"), share(c == 0).alias("flat_pct"))
+    return same(plain, percentiles(rows, column, points, by), by, "left" if by else "inner")
 
 
 def confusion(rows: DataFrame, labels: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
@@ -71,41 +74,18 @@ def coverage(rows: DataFrame, flat: int = 1, by: Sequence[str] = ()) -> DataFram
     return rows.groupBy(*by).agg(F.avg(called.cast("double")).alias("coverage"), F.avg(F.when(called & (F.col("y") != flat), (F.col("y") == F.col("p")).cast("double"))).alias("direction"))
 
 
-#: Ranges into which the scores of a group are cut.
-RANGES = 512
-
-
-def _ranged(counts: DataFrame, by: Sequence[str], sums: Sequence[str], downwards: bool = False) -> DataFrame:
-    """Adds, to rows of distinct scores p, the sums over all scores below (or above) in the same group, as <name>_before.
-
-    A group's scores are cut into RANGES of equal width between its least and greatest; the ranges' sums are added up in order, and within a range the scores'.
-    So no window runs over all scores of a group.
-    """
-    order = F.desc if downwards else F.asc
-    edges = counts.groupBy(*by).agg(F.min("p").alias("_low"), F.max("p").alias("_high"))
-    both = counts.join(F.broadcast(edges), list(by)) if by else counts.join(F.broadcast(edges))
-    place = F.floor((F.col("p") - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES)
-    cut = both.withColumn("_range", F.when(F.col("_high") > F.col("_low"), place).otherwise(0).cast("int")).drop("_low", "_high")
-    ahead = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in sums])
-    totals = totals.select(*by, "_range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in sums])
-    inside = Window.partitionBy(*by, "_range").orderBy(order("p")).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(totals, [*by, "_range"])
-    return out.withColumns({f"{c}_before": F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).drop("_range", *[f"_{c}" for c in sums])
-
-
 def roc_auc(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney with mid-ranks for ties, from counts per distinct score."""
     counts = rows.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     won = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
-    return _ranged(counts, by, ["neg"]).withColumn("_won", won).groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return sums_before(counts, "p", by, ["neg"]).withColumn("_won", won).groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
 def average_precision(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The step sum of precision times the gain of recall, over distinct scores from the highest."""
     counts = rows.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count("*").alias("n"))
     step = F.col("pos") * (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
-    return _ranged(counts, by, ["pos", "n"], downwards=True).withColumn("_s", step).groupBy(*by).agg(F.try_divide(F.sum("_s"), F.sum("pos")).alias("average_precision"))
+    return sums_before(counts, "p", by, ["pos", "n"], downwards=True).withColumn("_s", step).groupBy(*by).agg(F.try_divide(F.sum("_s"), F.sum("pos")).alias("average_precision"))
 
 
 def brier(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
