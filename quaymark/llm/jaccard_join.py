@@ -61,13 +61,12 @@ class Bands:
         return [(back, *self.segments(own - back), self.difference(n, min(n, self.largest(own - back))) + 1) for back in range(own - self.of(max(least, 1)) + 1)]
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> dict[str, np.ndarray]:
-    """Of each set and band to probe: a hash of what the set has in each segment, and for the first segments also of what is left without one of its tokens.
+def signatures(sets: list[np.ndarray], bands: Bands) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple, tuple]]:
+    """For each number of bands back: (back, places in sets, short, loose, whole, less) of the sets that probe so far back.
 
-    owner: place in sets; back: bands back; seg: segment; gone: whether a token is left out; loose: whether the segment has such rows; short: what is to be allotted beyond one for each segment and one more for
-    each with deletions (negative or 0).
+    short: what is to be allotted beyond one for each segment and one more for each of the first `loose` segments (negative or 0). whole: (ends, hashes) of what each set has
+    in each segment, in order of segments. less: (ends, hashes, segments) of the same with one token left out, of the loose segments' tokens.
     """
-    out: dict[str, list] = {k: [] for k in ("owner", "sig", "back", "seg", "gone", "loose", "short")}
     plans = [bands.probes(len(s)) if len(s) else [] for s in sets]
     for back in range(max(map(len, plans), default=0)):
         chosen = [i for i, p in enumerate(plans) if len(p) > back]
@@ -81,77 +80,78 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> dict[str, np.ndarray]:
         with np.errstate(over="ignore"):
             seg = ((_mixed(values, _P) >> np.uint64(20)) % m[owner].astype(np.uint64)).astype(np.int64)
             own = _mixed(values, _R)
-            base = np.cumsum(m) - m
-            cell = base[owner] + seg
+            ends = np.cumsum(m)
+            cell = (ends - m)[owner] + seg
             order = np.argsort(cell, kind="stable")
             total = np.append(np.uint64(0), np.cumsum(own[order]))
-            ends = np.cumsum(np.bincount(cell, minlength=int(m.sum())))
-            sums = total[ends] - total[np.append(0, ends[:-1])]
+            upto = np.cumsum(np.bincount(cell, minlength=int(ends[-1])))
+            sums = total[upto] - total[np.append(0, upto[:-1])]
             cells = np.repeat(np.arange(len(chosen)), m)
-            number = np.arange(len(cells)) - base[cells]
-            place = (number.astype(np.uint64) << np.uint64(12)) | band[cells]
+            number = np.arange(len(cells)) - (ends - m)[cells]
+            place = _mixed((number.astype(np.uint64) << np.uint64(12)) | band[cells], _Q)
             loose = np.flatnonzero(seg < spared[owner])
-            for name, of, sig, where, gone in (
-                ("whole", cells, _mixed(sums, _P) + _mixed(place, _Q), number, False),
-                ("less", owner[loose], _mixed(sums[cell[loose]] - own[loose], _P) + _mixed(place[cell[loose]], _Q), seg[loose], True),
-            ):
-                out["owner"].append(np.array(chosen, np.int64)[of])
-                out["sig"].append(sig.view(np.int64))
-                out["back"].append(np.full(len(of), back, np.int32))
-                out["seg"].append(where.astype(np.int32))
-                out["gone"].append(np.full(len(of), gone))
-                out["loose"].append(where < spared[of])
-                out["short"].append(short[of].astype(np.int32))
-    return {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in out.items()}
+            whole = (_mixed(sums, _P) + place).view(np.int64)
+            less = (_mixed(sums[cell[loose]] - own[loose], _P) + place[cell[loose]]).view(np.int64)
+        yield back, np.array(chosen), short, spared, (ends, whole), (np.cumsum(np.bincount(owner[loose], minlength=len(chosen))), less, seg[loose])
 
 
 def _node(values: np.ndarray) -> int:
     return np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).view(np.int64).item()
 
 
-def _sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, node) of (doc_id, text_hash, text); equal sets are one node, sets without shingles none."""
+_SETS = "doc_id long, text_hash long, n_shingles long, node long, back int, short int, loose int, whole array<long>, less array<long>, less_seg array<int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, nodes = [], []
-            for text in batch.column(2):
-                values = shingle_set(text.as_py(), size)
-                sizes.append(len(values))
-                nodes.append(_node(values) if len(values) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "text_hash", "n_shingles", "node"])
-
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long")
 
-
-def _signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(sig, node, n, back, seg, gone, loose, short): signatures() of every row's set. Sets that only equal ones can be linked to have none."""
+def _sets_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of each (doc_id, text_hash, text): its shingles' number, its node (equal sets are one, sets without shingles none) and its signatures(), a row for each number of
+    bands back. Sets that only equal ones can be linked to have no signatures, and one row with back 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
+        names = [c.split()[0] for c in _SETS.split(", ")]
+
+        def listed(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values))
 
-        def rows(sets: list[np.ndarray]) -> pa.RecordBatch:
-            found = signatures(sets, bands)
-            owner = found.pop("owner").astype(np.int64)
-            nodes, n = np.array([_node(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int32)
-            columns = [pa.array(found["sig"], pa.int64()), pa.array(nodes[owner], pa.int64()), pa.array(n[owner], pa.int32()), pa.array(found["back"], pa.int32()), pa.array(found["seg"], pa.int32()), pa.array(found["gone"].astype(bool)), pa.array(found["loose"].astype(bool)), pa.array(found["short"], pa.int32())]
-            return pa.RecordBatch.from_arrays(columns, names=["sig", "node", "n", "back", "seg", "gone", "loose", "short"])
+        def rows(ids: list, hashes: list, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            ids, hashes = pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())
+            n = np.array([len(s) for s in sets], np.int64)
+            nodes = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
+
+            def out(at: np.ndarray, back: int, short, loose, whole, less, less_seg) -> pa.RecordBatch:
+                at = pa.array(at, pa.int64())
+                fixed = [ids.take(at), hashes.take(at), pa.array(n).take(at), nodes.take(at), pa.array(np.full(len(at), back, np.int32))]
+                return pa.RecordBatch.from_arrays([*fixed, pa.array(short.astype(np.int32)), pa.array(loose.astype(np.int32)), whole, less, less_seg], names=names)
+
+            # without a difference that a larger linked set could have, only equal sets link
+            probing = np.array([bool(k) and bands.difference(int(k) * 100 // percent, int(k)) > 0 for k in n], bool)
+            alone, others = np.flatnonzero(~probing), np.flatnonzero(probing)
+            none, zero = np.zeros(len(alone), np.int64), np.empty(0, np.int64)
+            yield out(alone, 0, none, none, listed(none, zero), listed(none, zero), listed(none, zero.astype(np.int32)))
+            for back, at, short, loose, (ends, whole), (less_ends, less, seg) in signatures([sets[i] for i in others], bands):
+                yield out(others[at], back, short, loose, listed(ends, whole), listed(less_ends, less), listed(less_ends, seg.astype(np.int32)))
 
         for batch in batches:
-            sets, held = [], 0
-            for text in batch.column(0):
-                values = shingle_set(text.as_py(), size)
-                # without a difference that a larger linked set could have, only equal sets link
-                if len(values) and bands.difference(len(values) * 100 // percent, len(values)):
-                    sets.append(values)
-                    held += len(values)
-                if held > 200_000:
-                    yield rows(sets)
-                    sets, held = [], 0
-            if sets:
-                yield rows(sets)
-
-    return docs.select("text").mapInArrow(run, "sig long, node long, n int, back int, seg int, gone boolean, loose boolean, short int")
+            held, start, sets = 0, 0, []
+            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k, text in enumerate(batch.column(2), 1):
+                sets.append(shingle_set(text.as_py(), size))
+                held += len(sets[-1])
+                if held > 200_000 or k == len(batch):
+                    yield from rows(ids[start:k], hashes[start:k], sets)
+                    held, start, sets = 0, k, []
+
+    return docs.mapInArrow(run, _SETS)
+
+
+def _signature_rows(sets: DataFrame) -> DataFrame:
+    """(sig, node, n, back, seg, gone, loose, short): a row for each signature; gone: whether a token is left out, loose: whether the segment has such rows."""
+    kept = ["node", F.col("n_shingles").cast("int").alias("n"), "back", "short"]
+    whole = sets.select(*kept, F.col("loose").alias("spared"), F.posexplode("whole").alias("seg", "sig"))
+    less = sets.select(*kept, F.explode(F.arrays_zip("less", "less_seg")).alias("x"))
+    columns = ["sig", "node", "n", "back", "seg", "gone", "loose", "short"]
+    whole = whole.withColumns({"gone": F.lit(False), "loose": F.col("seg") < F.col("spared")}).select(*columns)
+    return whole.unionByName(less.select(*kept[:1], "n", "back", "short", F.col("x.less").alias("sig"), F.col("x.less_seg").alias("seg"), F.lit(True).alias("gone"), F.lit(True).alias("loose")).select(*columns))
 
 
 def candidate_lists(rows: DataFrame) -> DataFrame:
@@ -198,8 +198,9 @@ def linked_components(docs: DataFrame, shingle_words: int = 4, percent: int = 85
     are 64-bit hashes. A text is held by one task, whatever its length.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    sets = written(_sets_of(texts, shingle_words), "sets")
-    lists = written(candidate_lists(_signature_rows(texts, shingle_words, percent)), "candidates")
+    signed = written(_sets_of(texts, shingle_words, percent), "sets")
+    sets = signed.where("back = 0").select("doc_id", "text_hash", "n_shingles", "node")
+    lists = written(candidate_lists(_signature_rows(signed)), "candidates")
     lengths = lists.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     lists = lists.join(lengths, "value")
     lists = written(lists.join(lists.groupBy("node").agg(F.sum("length").alias("weight")), "node"), "weighed")

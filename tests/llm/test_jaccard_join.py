@@ -85,9 +85,16 @@ def test_every_linked_pair_is_found_by_what_is_allotted():
             s = np.sort(rng.integers(-(2**62), 2**62, n))
             smaller = max(-(-percent * n // 100), 1)
             other = np.sort(rng.permutation(s)[:smaller])
-            found = jj.signatures([s, other], bands)
+            found = list(jj.signatures([s, other], bands))
             back = bands.of(n) - bands.of(smaller)
-            rows = lambda i, b: {(x, g) for o, x, k, g in zip(found["owner"], found["sig"], found["back"], found["gone"]) if o == i and k == b}  # noqa: E731, B023
+
+            def rows(i, b, found=found):
+                for at_back, owners, _, _, (ends, whole), (less_ends, less, _) in found:
+                    if at_back == b and i in owners:
+                        k = int(np.flatnonzero(owners == i)[0])
+                        cut = lambda e, v: v[e[k - 1] if k else 0 : e[k]]  # noqa: E731, B023
+                        return {(x, False) for x in cut(ends, whole)} | {(x, True) for x in cut(less_ends, less)}
+
             mine, theirs = rows(0, back), rows(1, 0)
             assert any((x, False) in theirs or (not g and (x, True) in theirs) for x, g in mine)
 
