@@ -99,6 +99,27 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
+def confident(probabilities: Column, least: float, flat: int = 1) -> Column:
+    """The class of the greatest probability (0 short, 1 flat, 2 long), but flat where that probability is under `least`."""
+    best = argmax(probabilities)
+    return F.when((best != flat) & (F.array_max(probabilities) < least), flat).otherwise(best).cast("int")
+
+
+def number_name(x: Column, digits: int = 2) -> Column:
+    """0.5 as 0p50: a number in a name."""
+    return F.replace(F.format_string(f"%.{digits}f", x.cast("double")), F.lit("."), F.lit("p"))
+
+
+def name_number(name: Column) -> Column:
+    """0p50 as 0.5."""
+    return F.replace(name, F.lit("p"), F.lit(".")).cast("double")
+
+
+def piped(names: Column, order: Column) -> Column:
+    """An aggregate: names in the given order, joined by |."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), names.alias("n")))), lambda x: x["n"]), "|")
+
+
 def epoch_unit(median: Column) -> Column:
     """Unit of epoch numbers by the size of their median."""
     return F.when(median >= 1e17, "ns").when(median >= 1e14, "us").when(median >= 1e11, "ms").otherwise("s")

@@ -63,14 +63,21 @@ def longest_gaps(bars: DataFrame, step_ms: int, k: int = 20) -> DataFrame:
 def overlaps(spans: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of (name, start_ms, end_ms) rows that overlap, each once.
 
-    Time is cut into cells as long as the longest span, so a span is in two cells at most, and only spans of one cell are joined; a pair is told in the
-    first cell that both are in."""
-    width = spans.agg(F.greatest(F.max(F.col("end_ms") - F.col("start_ms")), F.lit(1)).alias("width"))
-    first, last = F.floor(F.col("start_ms") / F.col("width")), F.floor(F.col("end_ms") / F.col("width"))
-    cut = spans.join(F.broadcast(width)).select("name", "start_ms", "end_ms", first.alias("first"), F.explode(F.sequence(first, last)).alias("cell"))
-    side = lambda x: cut.select("cell", F.col("name").alias(x), F.col("start_ms").alias(f"s{x}"), F.col("end_ms").alias(f"e{x}"), F.col("first").alias(f"f{x}"))
-    met = side("a").join(side("b"), "cell").where((F.col("a") < F.col("b")) & (F.col("sa") <= F.col("eb")) & (F.col("sb") <= F.col("ea")) & (F.col("cell") == F.greatest("fa", "fb")))
-    return met.select("a", "b", (F.least("ea", "eb") - F.greatest("sa", "sb")).alias("overlap_ms"))
+    A span's level is the power of two above its length, and its cells are that wide, so it is in two at most. It also visits the cells of all levels above that spans
+    have (64 at most). Two spans meet at the level of the longer, in the first cell that both are in; so one long span doesn't bring short ones together.
+    """
+    length = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1))
+    levels = spans.withColumn("level", F.ceil(F.log2(length)).cast("int"))
+    present = levels.agg(F.collect_set("level").alias("_levels"))
+    visits = levels.crossJoin(F.broadcast(present)).withColumn("at", F.explode(F.filter("_levels", lambda x: x >= F.col("level"))))
+    width = F.expr("shiftleft(1L, at)")
+    first, last = F.floor(F.col("start_ms") / width), F.floor(F.col("end_ms") / width)
+    cut = visits.withColumn("first", first).withColumn("cell", F.explode(F.sequence(first, last)))
+    side = lambda x: [F.col("name").alias(x), F.col("start_ms").alias(f"s{x}"), F.col("end_ms").alias(f"e{x}"), F.col("first").alias(f"f{x}"), F.col("level").alias(f"l{x}")]
+    home = cut.where("at = level").select("at", "cell", *side("a"))
+    met = home.join(cut.select("at", "cell", *side("b")), ["at", "cell"])
+    met = met.where((F.col("sa") <= F.col("eb")) & (F.col("sb") <= F.col("ea")) & (F.col("cell") == F.greatest("fa", "fb")) & ((F.col("la") > F.col("lb")) & (F.col("a") != F.col("b")) | (F.col("la") == F.col("lb")) & (F.col("a") < F.col("b"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.least("ea", "eb") - F.greatest("sa", "sb")).alias("overlap_ms"))
 
 
 def feature_audit(rows: DataFrame, features: list[str], by: list[str], step_ms: int) -> DataFrame:
@@ -93,3 +100,13 @@ def boundary_gaps(spans: DataFrame) -> DataFrame:
     """Each span with the next one and the gap between. Spans are few, one for each file, so they are one window."""
     w = Window.orderBy("start_ms", "name")
     return spans.select("name", F.lead("name").over(w).alias("next_name"), (F.lead("start_ms").over(w) - F.col("end_ms")).alias("gap_ms")).where("next_name is not null")
+
+
+def series_verdict(bars: DataFrame, feature_rows: DataFrame, features: list[str], step_ms: int) -> DataFrame:
+    """One row for each instrument of a second series: the audit of its bars and of its features, the intervals that aren't one step, and verdict PASS or FAIL. Gaps alone don't fail it."""
+    own = audit(bars, step_ms, ["instrument"], ["ts_ms"]).select("instrument", "n_rows", "n_missing", "n_not_positive", "n_invalid", "n_backward", "n_duplicates", "first_ms", "last_ms")
+    other = interval_classes(bars, step_ms).select("instrument", (F.col("n_longer") + F.col("n_shorter")).alias("n_not_one_step"))
+    fed = feature_audit(feature_rows, features, ["instrument"], step_ms).select("instrument", F.col("n_rows").alias("n_feature_rows"), (F.col("n_nan") + F.col("n_infinite") + F.col("n_null")).alias("n_features_not_finite"))
+    out = own.join(other, "instrument", "left").join(fed, "instrument", "left").fillna(0, ["n_not_one_step", "n_feature_rows", "n_features_not_finite"])
+    bad = F.col("n_missing") + F.col("n_not_positive") + F.col("n_invalid") + F.col("n_backward") + F.col("n_duplicates") + F.col("n_features_not_finite")
+    return out.withColumn("verdict", F.when(bad == 0, "PASS").otherwise("FAIL"))

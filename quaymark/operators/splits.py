@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import same
 from .segments import BUCKET_BARS, number_starts, with_bucket
 
 MINUTE = 60_000
@@ -55,6 +56,42 @@ def hash_sample(rows: DataFrame, share: float, seed: int = 42, key: str = "ts_ms
     return rows.where(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") < int(share * (1 << 32)))
 
 
+def _draw(keys: Sequence[str], seed: int) -> Column:
+    """The number that a row draws: the smallest are sampled. It depends on the keys alone."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+
+
+def quotas(rows: DataFrame, total: int, by: Sequence[str]) -> DataFrame:
+    """Of each part its share of `total` rows, in proportion to its size: whole shares first, what is left goes to the largest remainders (ties: in order of the part).
+    No part gets more rows than it has."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_size"))
+    everything = Window.partitionBy(F.lit(0))
+    exact = F.least(F.lit(total), F.sum("_size").over(everything)) * F.col("_size")
+    parts = sizes.withColumns({"_whole": F.floor(exact / F.sum("_size").over(everything)).cast("long"), "_rest": exact % F.sum("_size").over(everything)})
+    left = F.least(F.lit(total), F.sum("_size").over(everything)) - F.sum("_whole").over(everything)
+    parts = parts.withColumns({"_left": left, "_place": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_rest"), *by))})
+    return parts.select(*by, (F.col("_whole") + (F.col("_place") <= F.col("_left")).cast("int")).alias("quota"))
+
+
+def exact_sample(rows: DataFrame, k: int | DataFrame, keys: Sequence[str] = ("instrument", "ts_ms"), seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """A random sample without replacement of just k rows, or of each part as many as its row of a table of quotas says (all, if it has fewer).
+
+    Rows draw digests of their keys, and the smallest are taken: they are counted by their first 16 bits, and only those of the one count that the threshold falls into are put in
+    order. The sample doesn't depend on the partitioning; keys must be unique.
+    """
+    drawn = rows.withColumn("_d", _draw(keys, seed)).withColumn("_b", F.conv(F.substring("_d", 1, 4), 16, 10).cast("int"))
+    counts = drawn.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_upto", upto)
+    wanted = same(counts, k, by) if isinstance(k, DataFrame) else counts.withColumn("quota", F.lit(k))
+    # what is still to be taken from a count: all of it, some, or nothing
+    take = wanted.withColumn("_take", F.least("_n", F.col("quota") - F.col("_upto") + F.col("_n"))).where("_take > 0").select(*by, "_b", "_n", "_take")
+    some = same(drawn, take, [*by, "_b"])
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_d", *keys))
+    edge = some.where("_take < _n").withColumn("_p", place).where("_p <= _take").select(*rows.columns)
+    return some.where("_take = _n").select(*rows.columns).unionByName(edge)
+
+
 def split_counts(rows: DataFrame, train_end: int, valid_end: int, test_end: int) -> DataFrame:
     t = F.col("ts_ms")
     return rows.agg(F.count_if(t < train_end).alias("n_train"), F.count_if((t >= train_end) & (t < valid_end)).alias("n_valid"), F.count_if((t >= valid_end) & (t < test_end)).alias("n_test"), F.count_if(t >= test_end).alias("n_outside"))

@@ -107,3 +107,13 @@ def _(spark, d):
 
     delivered(sub.hour_bars(spark, d), f"{place}/in", run)
     return stateful.written_rows(spark, f"{place}/out", stateful.BAR).select(*stateful.BAR_NAMES)
+
+
+@query("r06_sliding_windows", f"""SELECT event_type, start_ms, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(24,6))) AS DOUBLE) AS total, min(value) AS least, max(value) AS most FROM
+ (SELECT event_type, value, (epoch_ms(ts) // {HOUR} - k) * {HOUR} AS start_ms FROM events, range(0, 3) AS r(k)) WHERE start_ms + 3 * {HOUR} <= (SELECT epoch_ms(max(ts)) FROM events) - 600000 GROUP BY 1, 2""", "total least most")
+def _(spark, d):
+    """Windows of three hours that begin every hour, of a stream of events; those that the watermark has closed."""
+    place, events = src.shared_folder(spark, "sliding"), src.table(spark, d, "events")
+    stream = streaming.stream_sliding(streaming.read_events(spark, f"{d}/events[.]parquet", events.schema), "3 hours", "1 hour", "event_type")
+    streaming.run_available(stream, f"{place}/out", f"{place}/checkpoint")
+    return spark.read.parquet(f"{place}/out")

@@ -12,7 +12,7 @@ from quaymark.sources import tables as src
 from quaymark.streaming import bars as streaming
 
 from . import substrate as sub
-from .bar_queries import _CONFIG_SQL, _YEARLY, DAY, HOUR, PRICES, _yearly, dynamic_ctes, feature_ctes, query, touch_ctes
+from .bar_queries import _AUDIT, _CONFIG_SQL, _INDEX, _YEARLY, DAY, HOUR, PRICES, _yearly, dynamic_ctes, feature_ctes, query, touch_ctes
 from .substrate import SQL, with_bars
 from .substrate import segments as seg
 
@@ -519,7 +519,7 @@ def _(spark, d):
 
 
 # reports over years, and audits of feature tables
-_AUDITED = ["return_1m", "return_5m", "body_range_ratio", "distance_sma_15", "volatility_15m"]
+_AUDITED = list(FEATURES)
 def _with_targets(bars, step):
     """Every bar with its features and target, complete or not."""
     rows = features.with_features(segments.local_segments(segments.in_buckets(bars, step, 480, 60), step)).withColumns(features.future_returns(features.Rolling(), step, (5,)))
@@ -582,3 +582,63 @@ def _yearly_auc_sql() -> str:
 def _(spark, d):
     rows = diagnostics.with_year(_with_targets(sub.day_bars(spark, d), DAY)).dropna(subset=["future_return_5m"]).withColumn("y", (F.col("future_return_5m") > 0).cast("int"))
     return metrics.feature_auc(rows, _AUDITED, ["year"], 50).select("year", "feature", "auc", "advantage", "sign")
+
+
+# samples of exact size, second series, names
+_DRAW = "md5('42:' || instrument || ':' || ts_ms)"
+
+
+@query("t11_exact_sample", with_bars("m1", f"SELECT instrument, ts_ms FROM b ORDER BY {_DRAW}, ts_ms LIMIT 1000"))
+def _(spark, d):
+    return splits.exact_sample(sub.minute_bars(spark, d), 1000).select("instrument", "ts_ms")
+
+
+@query("t11_proportional_sample", with_bars("ht", f"""SELECT instrument, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY {_DRAW}) AS place FROM b) JOIN
+ (SELECT instrument, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, instrument) <= total - sum(whole) OVER () THEN 1 ELSE 0 END AS quota FROM
+  (SELECT instrument, total, total * n // all_n AS whole, total * n % all_n AS rest FROM (SELECT instrument, count(*) AS n, sum(count(*)) OVER () AS all_n, least(777, sum(count(*)) OVER ()) AS total FROM b GROUP BY 1))) USING (instrument) WHERE place <= quota""", ))
+def _(spark, d):
+    """777 rows, each instrument in proportion to its rows."""
+    rows = sub.hour_bars_by_type(spark, d)
+    return splits.exact_sample(rows, splits.quotas(rows, 777, ["instrument"]), by=["instrument"]).select("instrument", "ts_ms")
+
+
+@query("s14_csv_integrity", with_bars("h1", "SELECT 4::BIGINT AS n_files, count(*) AS n_rows, 0::BIGINT AS n_nul, 0::BIGINT AS n_broken, 0::BIGINT AS n_headers_wrong, 0::BIGINT AS n_missing, 0::BIGINT AS n_not_finite, 0::BIGINT AS n_backward, 0::BIGINT AS n_borders_backward, true AS passed FROM b"))
+def _(spark, d):
+    """Bars are written in order of time as four CSV files, which are read back as bytes and as values."""
+    bars = sub.hour_bars(spark, d).select("ts_ms", "open", "high", "low", "close")
+    path = src.shared_folder(spark, "csv") + "/bars"
+    ordered = bars.repartitionByRange(4, "ts_ms").sortWithinPartitions("ts_ms")
+    ordered.write.option("header", True).csv(path)
+    return src.verify_csv(spark, path, bars.schema)
+
+
+_INDEX_NAMES = list(_INDEX)
+_INDEX_CELLS = " + ".join(f"count(*) FILTER ({c} IS NULL OR isnan({c}) OR isinf({c}))" for c in _INDEX_NAMES)
+
+
+@query("p22_second_series", with_bars("o1", f"""SELECT *, CASE WHEN n_missing + n_not_positive + n_invalid + n_backward + n_duplicates + n_features_not_finite = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM
+ (SELECT a.instrument, n_rows, n_missing, n_not_positive, n_invalid, n_backward, n_duplicates, first_ms, last_ms, n_not_one_step, n_feature_rows, n_features_not_finite FROM ({_AUDIT.format(by="instrument", step=DAY, source="b")}) a
+  JOIN (SELECT instrument, count(*) FILTER (gap <> {DAY}) AS n_not_one_step FROM (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY instrument ORDER BY ts_ms) AS gap FROM b) GROUP BY 1) USING (instrument)
+  JOIN (SELECT instrument, count(*) AS n_feature_rows, {_INDEX_CELLS} AS n_features_not_finite FROM f WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _INDEX_NAMES)} GROUP BY 1) USING (instrument))""", *feature_ctes(DAY)))
+def _(spark, d):
+    bars = sub.order_day_bars(spark, d)
+    return quality.series_verdict(bars, features.index_features(bars, DAY), _INDEX_NAMES, DAY)
+
+
+_CLASS_P = "list_transform([value, event_id % 97, event_id % 89], lambda x: abs(x) / (abs(value) + event_id % 97 + event_id % 89 + 1))"
+
+
+@query("f11_confident", f"SELECT event_id, CASE WHEN best <> 1 AND most < 0.55::DOUBLE THEN 1 ELSE best END AS called FROM (SELECT event_id, list_max(p) AS most, CAST(list_position(p, list_max(p)) - 1 AS INT) AS best FROM (SELECT event_id, {_CLASS_P} AS p FROM events))")
+def _(spark, d):
+    """Short, flat or long by the greatest class probability, flat where it is under 0.55."""
+    weights = [F.abs("value"), (F.col("event_id") % 97).cast("double"), (F.col("event_id") % 89).cast("double")]
+    total = F.abs("value") + (F.col("event_id") % 97) + (F.col("event_id") % 89) + 1
+    return src.table(spark, d, "events").select("event_id", C.confident(F.array(*[w / total for w in weights]), 0.55).alias("called"))
+
+
+@query("f14_names", with_bars("ht", "SELECT name, string_agg(instrument, '|' ORDER BY n DESC, instrument) AS instruments FROM (SELECT instrument, 'from_' || replace(printf('%.2f', floor(avg(\"close\") / 10) * 10), '.', 'p') AS name, count(*) AS n FROM b GROUP BY 1) GROUP BY 1"))
+def _(spark, d):
+    """Instruments by the ten that their mean close is in, as names: from_40p00, and a|b in order of their number of bars."""
+    each = sub.hour_bars_by_type(spark, d).groupBy("instrument").agg(F.count("*").alias("n"), (F.floor(F.avg("close") / 10) * 10).alias("ten"))
+    named = each.withColumn("name", F.concat(F.lit("from_"), C.number_name(F.col("ten"))))
+    return named.groupBy("name").agg(C.piped(F.col("instrument"), F.struct(-F.col("n"), F.col("instrument"))).alias("instruments"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,6 +106,46 @@ def verify_output(spark: SparkSession, path: str, expected: T.StructType, ts: st
     return df.agg(F.count("*").alias("n_rows"), (F.count(ts) - F.count_distinct(ts)).alias("n_duplicates"), sum(bad, F.lit(0)).alias("n_not_finite"))
 
 
+def verify_csv(spark: SparkSession, path: str, expected: T.StructType, ts: str = "ts_ms") -> DataFrame:
+    """One row about written CSV files with headers, read once as lines and once as values: files and rows, lines with NUL bytes, lines that aren't UTF-8, files whose header isn't
+    the expected columns in order, rows with a missing or non-finite value, steps back in time within a file, and files that don't begin after the end of the one before (by
+    name). passed: none of these.
+
+    Lines are checked in splits. Rows are put in the order of their file by the split's place and their place in it; only each split's last time goes to the next one.
+    """
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("bucket")]
+    lines = spark.read.text(path).select(*at, "value")
+    of_lines = lines.agg(F.count_if(F.contains("value", F.lit("\0"))).alias("n_nul"), F.count_if(~F.is_valid_utf8("value")).alias("n_broken"), F.count_distinct("_file").alias("n_files"))
+    headers = spark.read.option("header", False).option("enforceSchema", True).schema(T.StructType([T.StructField(f.name, T.StringType()) for f in expected])).csv(path)
+    first = headers.where(F.col(expected.names[0]) == expected.names[0]).select(F.col("_metadata.file_path").alias("_file"), *expected.names)
+    good = [F.col(n) == n for n in expected.names]
+    right = good[0]
+    for g in good[1:]:
+        right &= F.coalesce(g, F.lit(False))
+    of_heads = first.where(right).agg(F.count_distinct("_file").alias("_headed"))
+
+    rows = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(expected).csv(path).select("*", *at).withColumn("_order", F.monotonically_increasing_id())
+    numbers = [f.name for f in expected if isinstance(f.dataType, T.DoubleType)]
+    missing = F.lit(False)
+    for n in expected.names:
+        missing |= F.col(n).isNull()
+    odd = F.lit(False)
+    for n in numbers:
+        odd |= F.isnan(n) | (F.abs(n) == float("inf"))
+    inside = Window.partitionBy("_file", "bucket").orderBy("_order")
+    splits = rows.groupBy("_file", "bucket").agg(F.max_by(ts, "_order").alias("_end"), F.min_by(ts, "_order").alias("_start"))
+    carried = splits.select("_file", "bucket", F.lag("_end").over(Window.partitionBy("_file").orderBy("bucket")).alias("_carried"))
+    stepped = rows.join(carried, ["_file", "bucket"]).withColumn("_before", F.coalesce(F.lag(ts).over(inside), F.col("_carried")))
+    of_rows = stepped.agg(F.count("*").alias("n_rows"), F.count_if(missing).alias("n_missing"), F.count_if(F.coalesce(odd, F.lit(False))).alias("n_not_finite"), F.count_if(F.col(ts) < F.col("_before")).alias("n_backward"))
+    files = splits.groupBy("_file").agg(F.min_by("_start", "bucket").alias("_start"), F.max_by("_end", "bucket").alias("_end"))
+    # one row a file, so one window
+    borders = files.select((F.col("_start") <= F.lag("_end").over(Window.orderBy("_file"))).alias("_over"))
+    of_borders = borders.agg(F.count_if("_over").alias("n_borders_backward"))
+    out = of_rows.crossJoin(of_lines).crossJoin(of_heads).crossJoin(of_borders).withColumn("n_headers_wrong", F.col("n_files") - F.col("_headed"))
+    counts = ["n_nul", "n_broken", "n_headers_wrong", "n_missing", "n_not_finite", "n_backward", "n_borders_backward"]
+    return out.select("n_files", "n_rows", *counts, (sum((F.col(c) for c in counts), F.lit(0)) == 0).alias("passed"))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in spark.checkpoint.dir, which all executors share; only where that is unset (tests), a temporary one of this machine."""
     import tempfile

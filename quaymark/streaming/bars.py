@@ -18,6 +18,13 @@ def stream_bars(events: DataFrame, step: str, late: str = "10 minutes", ts: str
     return out.select(F.unix_millis("w.start").alias("ts_ms"), "open", "high", "low", "close")
 
 
+def stream_sliding(events: DataFrame, length: str, slide: str, by: str, late: str = "10 minutes", ts: str = "ts", value: str = "value") -> DataFrame:
+    """Number, sum, least and greatest of each key over windows that overlap: every event counts in length / slide of them. A window is emitted once, when the watermark has passed its end."""
+    timed = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
+    out = timed.groupBy(F.window("_t", length, slide).alias("w"), by).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(24,6)")).cast("double").alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return out.select(by, F.unix_millis("w.start").alias("start_ms"), "n", "total", "least", "most")
+
+
 def stream_sessions(events: DataFrame, gap: str, by: str, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Runs of events of the same key without a gap: key, start, end and number. A session is emitted once, when the watermark has passed its end."""
     timed = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
