@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaymark.functions import columns as C
-from quaymark.operators import align, barriers, diagnostics, features, metrics, ml, quality, segments, simulate, splits
+from quaymark.operators import align, barriers, boosting, diagnostics, features, metrics, ml, nested, quality, segments, simulate, splits
 from quaymark.operators.features import FEATURES
 from quaymark.sources import tables as src
 from quaymark.streaming import bars as streaming
@@ -642,3 +642,47 @@ def _(spark, d):
     each = sub.hour_bars_by_type(spark, d).groupBy("instrument").agg(F.count("*").alias("n"), (F.floor(F.avg("close") / 10) * 10).alias("ten"))
     named = each.withColumn("name", F.concat(F.lit("from_"), C.number_name(F.col("ten"))))
     return named.groupBy("name").agg(C.piped(F.col("instrument"), F.struct(-F.col("n"), F.col("instrument"))).alias("instruments"))
+
+
+# boosting on histograms, and nested selection with it inside
+@query("m02_boosted_classes")
+def _(spark, d):
+    train, valid = _train_parts(spark, d)
+    model = boosting.boosted(train, _FEW, "cls", 3, rounds=8)
+    rows = boosting.predicted(model, valid.withColumnRenamed("cls", "y"))
+    return metrics.classification(rows.select(F.col("y").cast("int").alias("y"), "p"), [0, 1, 2])
+
+
+_NESTED_HORIZONS, _OUTER_YEARS, _NESTED_THRESHOLDS = (5, 15), (1997, 1999, 2001), (0.05, 0.1, 0.2)
+
+
+def _nested_rows(spark, d):
+    rows = features.with_features(segments.local_segments(segments.in_buckets(sub.day_bars(spark, d), DAY, 480, 60), DAY))
+    rows = rows.withColumns(features.future_returns(features.Rolling(), DAY, _NESTED_HORIZONS)).where("own")
+    rows = diagnostics.with_year(rows).dropna(subset=_FEW)
+    return rows.select("instrument", "ts_ms", "year", *_FEW, *[(F.col(nested.target(h)) * 0.01).alias(nested.target(h)) for h in _NESTED_HORIZONS])
+
+
+def _nested_sql() -> str:
+    cells = " UNION ALL ".join(f"SELECT instrument, {_YEAR} AS year, {h} AS horizon, ts_ms, ts_ms + {h} * {DAY}::BIGINT AS exit_ms, return_5m * -0.3::DOUBLE AS p, future_return_{h}m * 0.01::DOUBLE AS y FROM f WHERE future_return_{h}m IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in _FEW)}" for h in _NESTED_HORIZONS)
+    years = ", ".join(f"({y}, {k}, {y - 1 + k})" for y in _OUTER_YEARS for k in (0, 1))
+    values = ", ".join(f"({t}::DOUBLE)" for t in _NESTED_THRESHOLDS)
+    signals = f"SELECT instrument, outer_year, part, horizon, threshold, ts_ms, exit_ms, CASE WHEN p > threshold THEN 1 ELSE -1 END AS side, y FROM nr JOIN (VALUES {years}) v(outer_year, part, of_year) ON year = of_year, (VALUES {values}) t(threshold) WHERE p > threshold OR p < -threshold"
+    keys = ["instrument", "outer_year", "part", "horizon", "threshold"]
+    trades = "SELECT outer_year, part, horizon, threshold, cost_bps, ts_ms, side, side * y AS gross, side * y - cost_bps / 10000.0::DOUBLE AS net FROM walk, (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE)) c(cost_bps)"
+    grid = _equity_sql(trades, ["outer_year", "part", "horizon", "threshold", "cost_bps"])
+    picked = "SELECT outer_year, horizon, threshold FROM grid WHERE part = 0 AND cost_bps = 2 AND trades >= 5 QUALIFY row_number() OVER (PARTITION BY outer_year ORDER BY compound_return DESC, trades DESC, horizon, threshold) = 1"
+    return _recursive(with_bars("d1", f"SELECT grid.* EXCLUDE (part) FROM grid JOIN ({picked}) USING (outer_year, horizon, threshold) WHERE part = 1", *feature_ctes(DAY), f"nr AS ({cells})", _walk_sql(signals, keys), f"grid AS ({grid})"))
+
+
+@query("g07_nested_years", _nested_sql(), "threshold cost_bps " + _STATS)
+def _(spark, d):
+    """Of each outer year its inner year's best horizon and threshold, traded at four costs; the score is a fixed rule."""
+    return nested.nested_selection(_nested_rows(spark, d), nested.rule(F.col("return_5m") * -0.3), _NESTED_HORIZONS, _OUTER_YEARS, _NESTED_THRESHOLDS, _COSTS, DAY)
+
+
+@query("g07_nested_models")
+def _(spark, d):
+    """The same with boosted regressions inside, whose rounds the inner year tells."""
+    scorer = nested.boosted_scores(_FEW, DAY, 8)
+    return nested.nested_selection(_nested_rows(spark, d), scorer, _NESTED_HORIZONS, _OUTER_YEARS[-1:], (0.0, 0.0005, 0.001), _COSTS, DAY)
