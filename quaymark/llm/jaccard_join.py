@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, merged_components, written
-from .minhash import _rest_links, _star_links, shingle_set
+from .minhash import _rest_links, _star_links, one_text_each, set_number, shingle_set, with_components
 
 #: About so many tokens of a set lie in the segments that are also indexed with one token less.
 DELETIONS = 12
@@ -95,10 +94,6 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> Iterator[tuple[int, np.n
         yield back, np.array(chosen), short, spared, (ends, whole), (np.cumsum(np.bincount(owner[loose], minlength=len(chosen))), less, seg[loose])
 
 
-def _node(values: np.ndarray) -> int:
-    return np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).view(np.int64).item()
-
-
 _SETS = "doc_id long, text_hash long, n_shingles long, node long, back int, short int, loose int, whole array<long>, less array<long>, less_seg array<int>"
 
 
@@ -116,7 +111,7 @@ def _sets_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
         def rows(ids: list, hashes: list, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             ids, hashes = pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())
             n = np.array([len(s) for s in sets], np.int64)
-            nodes = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
+            nodes = pa.array([set_number(s) if len(s) else None for s in sets], pa.int64())
 
             def out(at: np.ndarray, back: int, short, loose, whole, less, less_seg) -> pa.RecordBatch:
                 at = pa.array(at, pa.int64())
@@ -207,15 +202,10 @@ def linked_components(docs: DataFrame, shingle_words: int = 4, percent: int = 85
     hubs = lists.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("hub"))
     fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
     pairs = lists.join(hubs, "value").where((F.col("node") != F.col("hub.node")) & fits).select("node", F.col("hub.node").alias("hub")).distinct()
-    first = sets.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    first = first.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    one_text = texts.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    one_text = written(one_text.select(F.col("node").alias("doc"), "text").dropDuplicates(["doc"]), "texts")
+    one_text = written(one_text_each(texts, sets, lists.select("node").distinct()), "texts")
     star = written(_star_links(written(pairs, "pairs"), one_text, shingle_words, percent), "star")
     members = connected_components(star, "stars")
     rest = written(_rest_links(lists.select("value", "node"), members, one_text, shingle_words, percent), "rest-links")
     if not rest.isEmpty():
         members = merged_components(members, rest, "all")
-    rows = sets.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return with_components(sets, members).select("doc_id", "n_shingles", "component_id")

@@ -9,7 +9,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import UPPER, connected_components, written
 
@@ -74,6 +73,27 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
+def set_number(values: np.ndarray) -> int:
+    """A 64-bit hash that stands for all equal sets, whatever the ids of their rows."""
+    return int.from_bytes(xxhash.xxh3_64_digest(values.tobytes()), "big", signed=True)
+
+
+def one_text_each(texts: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, text): a text of each wanted node; texts and sets have doc_id and text_hash, by which one row of a node's is found."""
+    first = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    first = first.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    found = texts.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash")))
+    return found.select(F.col("node").alias("doc"), "text").dropDuplicates(["doc"])
+
+
+def with_components(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """rows (doc_id, node) with component_id: the smallest id of the component that their node is in; rows without a node are alone."""
+    placed = rows.join(members, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    alone = F.col("component").isNull()
+    return placed.join(least, "component", "left").withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))).drop("component")
+
+
 def _sketcher(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,11 +102,11 @@ def _sketcher(size: int):
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([set_number(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64())),
                     batch.column(2),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sketch", "text_hash"],
+                names=["doc_id", "n_shingles", "node", "sketch", "text_hash"],
             )
 
     return run
@@ -239,27 +259,25 @@ def _rest_links(lists: DataFrame, members: DataFrame, texts: DataFrame, size: in
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash) of every row; text_hash is xxhash64 of the text, which tells rows of one id apart; kept marks the row that has the smallest id of its component.
 
-    Documents are linked if their shingle sets have a Jaccard similarity of percent / 100 or more. Equal sets are one class and only its smallest id goes on.
+    Documents are linked if their shingle sets have a Jaccard similarity of percent / 100 or more. Equal sets are one node, whatever their ids.
     In each inverted list all nodes are compared with the hub (the node of the largest weight): estimated on union sketches, then verified on the full sets. Where
     a list still holds several components, the nodes outside its largest are verified against all its nodes in blocks, so no link between
     components is lost, and the pairs of a large group are never emitted. Links are joined to components by rounds of joins.
-    Texts without words and null texts have no shingles and stand alone. Rows of the same id and text are one document, each kept. A null id is never a
-    component's id, unless all rows with that shingle set have null ids. Empty tables give no rows.
+    Texts without words and null texts have no shingles and stand alone. Rows of one id with different texts are linked by their own texts; rows of the same id and text are
+    each other's copies, and kept or not together. A null id is a component's id only where all its rows have null ids. Texts are held whole by one task. Empty tables give no rows.
     """
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketcher(shingle_words), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("text_hash", T.LongType())])), "sketches")
-    ids = written(sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    classes = sketched.join(ids.withColumnRenamed("digest", "_digest"), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("_digest"))).select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    schema = "doc_id long, n_shingles long, node long, sketch array<long>, text_hash long"
+    sketched = written(texts.mapInArrow(_sketcher(shingle_words), schema), "sketches")
+    classes = sketched.where("node is not null").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
     lists = written(_inverted_lists(classes), "lists")
     hubs = lists.groupBy("value").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
     pairs = lists.join(hubs, "value").where("node <> hub").select("node", "hub").distinct()
-    texts = texts.join(lists.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = written(texts.select(F.col("doc_id").alias("doc"), "text"), "texts")
-    star = written(_star_links(written(_estimated(pairs, classes), "pairs"), texts, shingle_words, percent), "star")
+    one_text = written(one_text_each(texts, sketched.select("doc_id", "text_hash", "node"), lists.select("node").distinct()), "texts")
+    star = written(_star_links(written(_estimated(pairs, classes), "pairs"), one_text, shingle_words, percent), "star")
     members = connected_components(star, "stars")
-    rest = written(_rest_links(lists, members, texts, shingle_words, percent), "rest-links")
+    rest = written(_rest_links(lists, members, one_text, shingle_words, percent), "rest-links")
     if not rest.isEmpty():
         members = connected_components(star.unionByName(rest), "all")
-    rows = sketched.select("doc_id", "n_shingles", "digest", "text_hash").join(ids, "digest", "left").join(members, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+    rows = with_components(sketched.select("doc_id", "n_shingles", "node", "text_hash"), members)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")

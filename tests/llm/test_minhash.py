@@ -127,3 +127,19 @@ def test_registered_query(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in table(spark, d, "documents").select("doc_id", "text").collect()]
     assert {r.doc_id: tuple(r)[1:] for r in queries.op4_minhash_dedup(spark, d).collect()} == plain(docs, 4)
+
+
+def test_ids_that_clash_keep_the_links_of_each_text(spark):
+    rng = random.Random(8)
+    a, b = (rng.choices([f"w{i}" for i in range(900)], k=60) for _ in range(2))
+    docs = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:-1])), (3, " ".join(b[1:])), (None, " ".join(b)), (None, "alone in here")]
+    rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in rows), key=str) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, True)], key=str)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    long = rng.choices(words, k=120_000)
+    docs = [(4, " ".join(long)), (2, " ".join(varied(rng, words, long, 900))), (1, " ".join(rng.choices(words, k=50_000))), (3, " ".join(long[:110_000]))]
+    assert run(spark, docs) == plain(docs, 4)
