@@ -418,9 +418,9 @@ def _masked(spark, d):
     return segments.closed_mask(_runs(spark, d), 3)
 
 
-@query("l08_session_barrier", with_bars("hq", _DYN.replace("volatility, width, ", "") + " UNION ALL SELECT instrument, ts_ms, m, -3, -1, NULL, NULL FROM r, (VALUES (0.1::DOUBLE), (0.25::DOUBLE)) v(m) WHERE run_length >= 3", *_runs_sql(False), _ACTIVE, *dynamic_ctes(HOUR, "a", 5, 10)), "multiplier exit_close")
+@query("l08_session_barrier", with_bars("hq", _DYN + " UNION ALL SELECT instrument, ts_ms, m, NULL, NULL, -3, -1, NULL, NULL FROM r, (VALUES (0.1::DOUBLE), (0.25::DOUBLE)) v(m) WHERE run_length >= 3", *_runs_sql(False), _ACTIVE, *dynamic_ctes(HOUR, "a", 5, 10)), "volatility multiplier width exit_close")
 def _(spark, d):
-    return barriers.session_barrier(_masked(spark, d), HOUR, _MULTIPLIERS, 5, 10).select("instrument", "ts_ms", "multiplier", "label", "hit", "exit_ms", "exit_close")
+    return barriers.session_barrier(_masked(spark, d), HOUR, _MULTIPLIERS, 5, 10).select("instrument", "ts_ms", "volatility", "multiplier", "width", "label", "hit", "exit_ms", "exit_close")
 
 
 @query("l10_event_targets", with_bars("h1", "SELECT instrument, ts_ms, horizon, CASE WHEN label IN (0, 2) THEN 1 WHEN label = 1 THEN 0 END AS event, CASE WHEN label = 2 THEN 1 WHEN label = 0 THEN 0 END AS direction FROM t WHERE key IN (0, 2)", seg(HOUR), *touch_ctes(_CONFIG_SQL)))

@@ -213,7 +213,7 @@ def _(spark, d):
     return metrics.average_precision(_binary(spark, d), ["instrument"])
 
 
-@query("x11_brier", _score_sql("SELECT instrument, avg((prob - up) * (prob - up)) AS brier FROM sc GROUP BY 1"), "brier")
+@query("x11_brier", _score_sql("SELECT instrument, CAST(sum(CAST((prob - up) * (prob - up) AS DECIMAL(26,12))) AS DOUBLE) / count(prob) AS brier FROM sc GROUP BY 1"), "brier")
 def _(spark, d):
     return metrics.brier(_binary(spark, d), ["instrument"])
 
@@ -686,3 +686,36 @@ def _(spark, d):
     """The same with boosted regressions inside, whose rounds the inner year tells."""
     scorer = nested.boosted_scores(_FEW, DAY, 8)
     return nested.nested_selection(_nested_rows(spark, d), scorer, _NESTED_HORIZONS, _OUTER_YEARS[-1:], (0.0, 0.0005, 0.001), _COSTS, DAY)
+
+
+# files of bars
+def _written_years(spark, d) -> str:
+    """Daily bars as CSV, a folder and a file for each year."""
+    path = src.shared_folder(spark, "years") + "/csv"
+    bars = diagnostics.with_year(sub.day_bars(spark, d)).select("year", F.col("ts_ms").alias("timestamp"), *PRICES.split())
+    bars.repartition("year").sortWithinPartitions("year", "timestamp").write.partitionBy("year").option("header", True).csv(path)
+    return path
+
+
+@query("s03_many_files", with_bars("d1", f"SELECT {_YEAR} AS year, 1::BIGINT AS n_files, count(*) AS n_rows, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM b GROUP BY 1"))
+def _(spark, d):
+    """Many files as one table of text with each row's file name, and the numbers that its fields are."""
+    rows = src.coerced(src.read_bar_files(spark, _written_years(spark, d)), ["timestamp"], "bigint")
+    src.require_columns(rows, ["timestamp", *PRICES.split(), "file"])
+    return rows.groupBy("year").agg(F.count_distinct("file").alias("n_files"), F.count("*").alias("n_rows"), F.min("timestamp").alias("first_ms"), F.max("timestamp").alias("last_ms"))
+
+
+@query("s06_typed_files", with_bars("d1", 'SELECT ts_ms, "open", high, low, "close" FROM b'), PRICES)
+def _(spark, d):
+    """The same files, typed by the scan."""
+    rows = src.read_typed_bars(spark, f"{_written_years(spark, d)}/year=*")
+    return rows.select(F.col(src.first_of(rows, ["ts_ms", "timestamp"])).alias("ts_ms"), *PRICES.split())
+
+
+@query("s11_created_and_added_to", with_bars("d1", 'SELECT ts_ms, "close", count(*) AS n FROM (SELECT ts_ms, "close" FROM b UNION ALL SELECT ts_ms, "close" FROM b WHERE ts_ms % 2 = 0) GROUP BY 1, 2', ), "close")
+def _(spark, d):
+    """A report that is written, replaced by itself, and added to."""
+    path, bars = src.shared_folder(spark, "report") + "/bars", sub.day_bars(spark, d).select("ts_ms", "close")
+    for rows, append in ((bars.where("ts_ms % 2 = 0"), False), (bars, False), (bars.where("ts_ms % 2 = 0"), True)):
+        src.write_report(rows, path, append=append)
+    return spark.read.parquet(path).groupBy("ts_ms", "close").agg(F.count("*").alias("n"))
