@@ -14,19 +14,20 @@ from .common import UPPER, written
 
 #: Base rules.
 MIN_WORDS, WINDOW_WORDS, MAX_REPEAT_PERCENT = 10, 5, 20
-#: What the adaptive rules look at, each times SCALE as an integer: (name, SQL over the counts, least width of the fence above the upper quartile). The
+#: What the adaptive rules look at, each times SCALE as an integer: (name, SQL over the counts, least width of the fence above the upper quartile). Words and capitals
+#: spread in every group, so their widths come from its sketch; of what most texts have none of, the quartiles are 0 and the least width stands. The
 #: widths leave every fence inside its metric's range (shares end at SCALE, repeats at the base rule's), so each rule can reject.
 SCALE = 1000
 METRICS = (
-    ("symbols_per_word", f"n_symbols * {SCALE} div n_words", 50),
-    ("dup_lines_per_line", f"n_dup_lines * {SCALE} div greatest(n_lines, 1)", 100),
-    ("repeat_per_word", f"n_repeat_words * {SCALE} div n_words", 45),
-    ("chars_per_word", f"word_chars * {SCALE} div n_words", 1200),
-    ("upper_per_char", f"n_upper * {SCALE} div greatest(word_chars, 1)", 50),
+    ("symbols_per_word", f"n_symbols * {SCALE} div n_words", 17),
+    ("dup_lines_per_line", f"n_dup_lines * {SCALE} div greatest(n_lines, 1)", 34),
+    ("repeat_per_word", f"n_repeat_words * {SCALE} div n_words", 15),
+    ("chars_per_word", f"word_chars * {SCALE} div n_words", 150),
+    ("upper_per_char", f"n_upper * {SCALE} div greatest(word_chars, 1)", 10),
 )
 #: Fences stand FENCE widths (upper quartile less median, or the least width) above the upper quartile. A group of fewer documents than MIN_GROUP takes its
 #: language's sketch, and that of fewer the sketch of all documents.
-FENCE, MIN_GROUP = 4, 30
+FENCE, MIN_GROUP = 12, 30
 #: Buckets of the sketch grow by GAMMA: a quantile is right within 1 %.
 GAMMA = 1.02
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")

@@ -70,6 +70,27 @@ def test_verdicts_and_edge_rows(spark):
     assert quality_rules.judge(df.limit(0), ["doc_id"]).collect() == []
 
 
+def test_fences_follow_their_group_and_no_constant_does_the_same(spark):
+    """Sources of short, of long and of uneven words: what is odd in one is usual in another."""
+    rng = random.Random(11)
+
+    def text(low, high, n=60):
+        return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(low, high))) for _ in range(n))
+
+    sources = {"short": (3, 4), "long": (9, 10), "uneven": (2, 14)}
+    rows = [(f"{s}{i}", text(*w) if s != "uneven" else text(rng.randint(2, 6), rng.randint(7, 14)), "en", s) for s, w in sources.items() for i in range(60)]
+    rows += [("in short", text(8, 9), "en", "short"), ("in long", text(8, 9), "en", "long"), ("in uneven", text(8, 9), "en", "uneven")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(df, ["doc_id"]).collect()}
+    assert [kept[x] for x in ("in short", "in long", "in uneven")] == [False, True, True]
+    assert all(v for k, v in kept.items() if k != "in short")
+    counted = quality_rules.with_counts(df, ["doc_id", "lang", "source"])
+    fences = {r.source: r.max_chars_per_word for r in quality_rules.group_fences(counted).collect()}
+    chars = {r.doc_id: 1000 * r.word_chars // r.n_words for r in counted.collect()}
+    # a constant under which "in short" goes would take the long words' texts too
+    assert fences["short"] < chars["in short"] < max(v for k, v in chars.items() if k.startswith("long")) <= fences["long"]
+
+
 def test_every_adaptive_rule_rejects(spark):
     """One row for each metric that breaks only its fence; columns with a result's name are replaced."""
     prose = lambda k: " ".join(f"word{(i * k) % 89}{'x' * (i % 4)}" for i in range(80))
