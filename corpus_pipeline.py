@@ -27,8 +27,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup on shingles of five words: of each group the document with the smallest id stays. Texts of one id are one document, so they go
-    or stay together; rows without an id go if their text is another document's."""
+    """MinHash near-dedup on shingles of five words: of each group the document with the smallest id stays. Rows of one id with different texts go or stay by their own
+    texts; rows without an id go if their text is another document's."""
     gone = minhash.near_duplicates(docs.select("doc_id", "text"), shingle_words=5).where("not kept").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti")
 
