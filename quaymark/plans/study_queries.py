@@ -617,9 +617,9 @@ _INDEX_CELLS = " + ".join(f"count(*) FILTER ({c} IS NULL OR isnan({c}) OR isinf(
 
 
 @query("p22_second_series", with_bars("o1", f"""SELECT *, CASE WHEN n_missing + n_not_positive + n_invalid + n_backward + n_duplicates + n_features_not_finite = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM
- (SELECT a.instrument, n_rows, n_missing, n_not_positive, n_invalid, n_backward, n_duplicates, first_ms, last_ms, n_not_one_step, n_feature_rows, n_features_not_finite FROM ({_AUDIT.format(by="instrument", step=DAY, source="b")}) a
-  JOIN (SELECT instrument, count(*) FILTER (gap <> {DAY}) AS n_not_one_step FROM (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY instrument ORDER BY ts_ms) AS gap FROM b) GROUP BY 1) USING (instrument)
-  JOIN (SELECT instrument, count(*) AS n_feature_rows, {_INDEX_CELLS} AS n_features_not_finite FROM f WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _INDEX_NAMES)} GROUP BY 1) USING (instrument))""", *feature_ctes(DAY)))
+ (SELECT a.instrument, n_rows, n_missing, n_not_positive, n_invalid, n_backward, n_duplicates, first_ms, last_ms, coalesce(n_not_one_step, 0) AS n_not_one_step, coalesce(n_feature_rows, 0) AS n_feature_rows, coalesce(n_features_not_finite, 0) AS n_features_not_finite FROM ({_AUDIT.format(by="instrument", step=DAY, source="b")}) a
+  LEFT JOIN (SELECT instrument, count(*) FILTER (gap <> {DAY}) AS n_not_one_step FROM (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY instrument ORDER BY ts_ms) AS gap FROM b) GROUP BY 1) USING (instrument)
+  LEFT JOIN (SELECT instrument, count(*) AS n_feature_rows, {_INDEX_CELLS} AS n_features_not_finite FROM f WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _INDEX_NAMES)} GROUP BY 1) USING (instrument))""", *feature_ctes(DAY)))
 def _(spark, d):
     bars = sub.order_day_bars(spark, d)
     return quality.series_verdict(bars, features.index_features(bars, DAY), _INDEX_NAMES, DAY)
