@@ -51,7 +51,7 @@ def _(spark, d):
 _FEATURES = [c for c in features.FEATURES if c.startswith(("return", "volatility", "distance")) or c.endswith("ratio")]
 
 
-@query("r01_stream_features", with_bars("ht", f"SELECT instrument, ts_ms, {', '.join(_FEATURES)} FROM f", *feature_ctes(HOUR)), " ".join(_FEATURES))
+@query("r01_stream_features", with_bars("ht", f"SELECT instrument, ts_ms, {', '.join(_FEATURES)} FROM f", *feature_ctes(HOUR)), " ".join(_FEATURES), 4)
 def _(spark, d):
     """Features of a stream in three runs: each batch gets the bars that it looks back at from state, so they are those of the whole series."""
     place = src.shared_folder(spark, "stream-features")
