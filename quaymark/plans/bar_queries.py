@@ -110,7 +110,7 @@ def _(spark, d):
 
 @query("t08_first_of_time", "SELECT instrument, ts_ms, l_partkey FROM (SELECT 'lines' AS instrument, epoch_ms(l_shipdate) AS ts_ms, l_partkey, row_number() OVER (PARTITION BY l_shipdate ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1")
 def _(spark, d):
-    rows = src.table(spark, d, "lineitem").select(F.lit("lines").alias("instrument"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ts_ms"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = src.table(spark, d, "lineitem").select(F.lit("lines").alias("instrument"), C.epoch_ms("l_shipdate").alias("ts_ms"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return quality.first_of_time(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("instrument", "ts_ms", "l_partkey")
 
 

@@ -464,7 +464,7 @@ def _(spark, d):
 
 @query("a13_value_counts", f"SELECT {_YEAR} AS year, o_orderstatus AS label, count(*) AS n FROM (SELECT epoch_ms(o_orderdate) AS ts_ms, o_orderstatus FROM orders) GROUP BY 1, 2")
 def _(spark, d):
-    rows = src.table(spark, d, "orders").select(F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"), F.col("o_orderstatus").alias("label"))
+    rows = src.table(spark, d, "orders").select(C.epoch_ms("o_orderdate").alias("ts_ms"), F.col("o_orderstatus").alias("label"))
     return diagnostics.with_year(rows).groupBy("year", "label").agg(F.count("*").alias("n"))
 
 

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaymark.functions.columns import at, epoch_ms
+
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def stream_bars(events: DataFrame, step: str, late: str = "10 minutes", ts: str = "ts", value: str = "value", tie: str = "event_id") -> DataFrame:
-    """Bars of a stream: a bar is emitted once, when the watermark has passed its end."""
+    """Bars of a stream, by times in whole milliseconds as those of a table: a bar is emitted once, when the watermark has passed its end."""
     key = F.struct(F.col(ts), F.col(tie))
-    timed = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
+    timed = events.withColumn("_t", at(epoch_ms(ts))).withWatermark("_t", late)
     out = timed.groupBy(F.window("_t", step).alias("w")).agg(F.min_by(value, key).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, key).alias("close"))
     return out.select(F.unix_millis("w.start").alias("ts_ms"), "open", "high", "low", "close")
 
 
 def stream_sliding(events: DataFrame, length: str, slide: str, by: str, late: str = "10 minutes", ts: str = "ts", value: str = "value") -> DataFrame:
     """Number, sum, least and greatest of each key over windows that overlap: every event counts in length / slide of them. A window is emitted once, when the watermark has passed its end."""
-    timed = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
+    timed = events.withColumn("_t", at(epoch_ms(ts))).withWatermark("_t", late)
     out = timed.groupBy(F.window("_t", length, slide).alias("w"), by).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(24,6)")).cast("double").alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
     return out.select(by, F.unix_millis("w.start").alias("start_ms"), "n", "total", "least", "most")
 
