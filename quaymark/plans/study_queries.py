@@ -359,6 +359,8 @@ def _(spark, d):
 def _train_parts(spark, d):
     rows = diagnostics.with_year(features.feature_set(sub.day_bars(spark, d), DAY)).dropna(subset=["future_return_5m"])
     rows = rows.withColumns({"up": (F.col("future_return_5m") > 0).cast("double"), "cls": C.deadzone(F.col("future_return_5m"), 0.05).cast("double")})
+    # a model reads its rows many times: the bars are made from the table once
+    rows = src.stored(rows, "model-rows")
     cut = rows.agg(F.expr("percentile_approx(ts_ms, 0.7)")).first()[0]
     return rows.where(F.col("ts_ms") <= cut - 5 * DAY), rows.where(F.col("ts_ms") > cut)
 
