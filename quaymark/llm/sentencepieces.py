@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64_000_000
 #: Threads of one task's batch are spark.task.cpus, and so many at least: one runs on while another waits for a long text.
 THREADS = 2
+#: A Python worker keeps the ids of so many words, each of so many characters at most; all others are encoded in every slice anew.
+KEPT_WORDS, KEPT_CHARS = 200_000, 40
 MARK = "▁"
+#: Where texts may be cut if no merge crosses from a word into the mark that follows.
+WORDS = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
 _KINDS = {1: "normal", 2: "unknown", 3: "control", 4: "user", 5: "unused", 6: "byte"}
 
 
@@ -128,7 +134,7 @@ class PieceModel:
         if steps and normalise:
             out.normalizer = normalizers.Sequence(steps)
         if self.escape and self.splits_at_marks():
-            out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
+            out.pre_tokenizer = pre_tokenizers.Split(Regex(WORDS), "isolated")
         steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         out.decoder = decoders.Sequence(steps + [decoders.Strip(" ", 1, 0)] * self.dummy_prefix)
         return out
@@ -146,23 +152,43 @@ def prepared(text: str) -> str:
     return MARK + text.replace(" ", MARK)
 
 
-_CACHE: dict[int, tuple] = {}
+_CACHE: dict = {}
 
 
 def _tokenizer(data: bytes):
-    """The tokenizer and whether its texts have to be prepared(); one in each Python worker, and workers outlive their tasks."""
+    """The tokenizer, whether its texts have to be prepared(), and the ids of words kept so far (none where texts can't be cut into words); one in each
+    Python worker, and workers outlive their tasks."""
     key = hash(data)
     if key not in _CACHE:
         _CACHE.clear()
         model = PieceModel(data)
-        _CACHE[key] = model.tokenizer(not model.plain()), model.plain()
+        _CACHE[key] = model.tokenizer(not model.plain()), model.plain(), {} if model.plain() and model.splits_at_marks() else None
     return _CACHE[key]
 
 
 def encode_batch(texts: list[str], data: bytes) -> list[list[int]]:
-    tokenizer, plain = _tokenizer(data)
-    found = tokenizer.encode_batch_fast(list(map(prepared, texts)) if plain else texts, add_special_tokens=False)
-    return [x.ids if text else [] for x, text in zip(found, texts)]
+    """The ids of each text. The tokenizer cuts prepared() texts at marks and encodes each word by itself, so a word that comes again has the same ids."""
+    tokenizer, plain, kept = _tokenizer(data)
+    if kept is None:
+        found = tokenizer.encode_batch_fast(list(map(prepared, texts)) if plain else texts, add_special_tokens=False)
+        return [x.ids if text else [] for x, text in zip(found, texts)]
+    words = [re.findall(WORDS, prepared(text)) if text else [] for text in texts]
+    new = list(set(chain.from_iterable(words)).difference(kept))
+    ids = dict(zip(new, (x.ids for x in tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+    if len(kept) < KEPT_WORDS:
+        kept.update((w, x) for w, x in ids.items() if len(w) <= KEPT_CHARS)
+    return [list(chain.from_iterable([kept[w] if w in kept else ids[w] for w in of_text])) for of_text in words]
+
+
+def _library(data: bytes):
+    """The sentencepiece library's processor, one in each Python worker."""
+    import sentencepiece
+
+    key = "library", hash(data)
+    if key not in _CACHE:
+        _tokenizer(data)
+        _CACHE[key] = sentencepiece.SentencePieceProcessor(model_proto=data)
+    return _CACHE[key]
 
 
 def decode_batch(ids: list[list[int]], data: bytes) -> list[str]:
@@ -206,11 +232,12 @@ def encode_texts(docs: DataFrame, keep: list[str], text: str = "text", model: by
             for part in _in_slices(batch.column(1).to_pylist()):
                 ids = encode_batch(part, data)
                 arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
+                decoded = decode_batch(ids, data) if decode else None
                 if decode:
-                    arrays.append(pa.array(decode_batch(ids, data), pa.string()))
+                    arrays.append(pa.array(decoded, pa.string()))
                 if checked:
                     chosen = [i for i in range(len(part)) if batch.column(2)[at + i].as_py()]
-                    wrong = {chosen[i] for i in parity([part[i] for i in chosen], data)}
+                    wrong = {chosen[i] for i in parity([part[i] for i in chosen], data, [ids[i] for i in chosen], decoded and [decoded[i] for i in chosen])}
                     same = dict.fromkeys(chosen, True) | dict.fromkeys(wrong, False)
                     arrays.append(pa.array([same.get(i) for i in range(len(part))], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *arrays], names=[f.name for f in fields])
@@ -220,14 +247,13 @@ def encode_texts(docs: DataFrame, keep: list[str], text: str = "text", model: by
     return out.select(*([F.col("_row")[c].alias(c) for c in keep]), *[f.name for f in fields[1:]])
 
 
-def parity(texts: list[str], data: bytes) -> list[int]:
-    """The numbers of the texts whose ids or decoded form differ from the sentencepiece library's."""
-    import sentencepiece
-
-    theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
-    ids = encode_batch(texts, data)
+def parity(texts: list[str], data: bytes, ids: list[list[int]] | None = None, decoded: list[str] | None = None) -> list[int]:
+    """The numbers of the texts whose ids or decoded form differ from the sentencepiece library's; ids and decoded where they are there already."""
+    theirs = _library(data)
+    ids = encode_batch(texts, data) if ids is None else ids
+    decoded = decode_batch(ids, data) if decoded is None else decoded
     expected = theirs.encode(texts, num_threads=1)
-    return [i for i, (a, b, text) in enumerate(zip(ids, expected, decode_batch(ids, data))) if a != b or text != theirs.decode(b)]
+    return [i for i, (a, b, text) in enumerate(zip(ids, expected, decoded)) if a != b or text != theirs.decode(b)]
 
 
 def verify_parity(docs: DataFrame, text: str = "text", model: bytes | None = None) -> DataFrame:

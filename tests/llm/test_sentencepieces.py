@@ -69,3 +69,21 @@ def test_registered_query(spark, model):
 def test_parity_report(spark):
     rows = sp.verify_parity(table(spark, "/root/testdata/sf0.001", "documents")).collect()
     assert sum(r.n_texts for r in rows) == 200 and sum(r.n_differing for r in rows) == 0
+
+
+def test_registered_query_compares_every_text(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["a b", "", None, *ODD[3:]])] + [(None, "no id"), (1, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op3_sentencepiece(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) and all(r.parity is True for r in out)
+
+
+def test_words_beyond_the_kept_ones_have_the_same_ids(model, monkeypatch):
+    texts = [*ODD, *(f"w{i} x{i % 7}  y" + "z" * (i % 60) for i in range(200))]
+    whole = sp.PieceModel(model).tokenizer()
+    expected = [x.ids if t else [] for x, t in zip(whole.encode_batch(texts, add_special_tokens=False), texts)]
+    for most in (0, 5, 1000):
+        monkeypatch.setattr(sp, "KEPT_WORDS", most)
+        sp._CACHE.clear()
+        assert [sp.encode_batch([t], model)[0] for t in texts] == expected == sp.encode_batch(texts, model)
+    sp._CACHE.clear()
