@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,7 +20,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64_000_000
 #: Threads of one task's batch are spark.task.cpus, and so many at least: one runs on while another waits for a long text.
 THREADS = 2
-#: A Python worker keeps the ids of so many words, each of so many characters at most; all others are encoded in every slice anew.
+#: A Python worker keeps the ids and the decoded form of so many words, each of so many characters at most; all others are encoded in every slice anew.
 KEPT_WORDS, KEPT_CHARS = 200_000, 40
 MARK = "▁"
 #: Where texts may be cut if no merge crosses from a word into the mark that follows.
@@ -156,28 +157,60 @@ _CACHE: dict = {}
 
 
 def _tokenizer(data: bytes):
-    """The tokenizer, whether its texts have to be prepared(), and the ids of words kept so far (none where texts can't be cut into words); one in each
-    Python worker, and workers outlive their tasks."""
+    """The tokenizer, whether its texts have to be prepared(), the ids and texts of words kept so far (none where texts can't be cut into words), and which
+    pieces begin with a mark; one in each Python worker, and workers outlive their tasks."""
     key = hash(data)
     if key not in _CACHE:
         _CACHE.clear()
         model = PieceModel(data)
-        _CACHE[key] = model.tokenizer(not model.plain()), model.plain(), {} if model.plain() and model.splits_at_marks() else None
+        by_words = model.plain() and model.splits_at_marks() and any(p == MARK and kind == "normal" for p, _, kind in model.pieces)
+        starts = np.array([p.startswith(MARK) for p, _, _ in model.pieces], bool)
+        _CACHE[key] = model.tokenizer(not model.plain()), model.plain(), {} if by_words else None, starts
     return _CACHE[key]
 
 
-def encode_batch(texts: list[str], data: bytes) -> list[list[int]]:
-    """The ids of each text. The tokenizer cuts prepared() texts at marks and encodes each word by itself, so a word that comes again has the same ids."""
-    tokenizer, plain, kept = _tokenizer(data)
+def _words_coded(words: list[str], data: bytes) -> dict[str, tuple[bytes, str]]:
+    """Each word's ids, as the bytes of 32-bit numbers, and the text that they decode to. A word has one mark, at its front, so in the ids of many words at once
+    each piece that begins with a mark begins a word; words of several marks are encoded one by one."""
+    tokenizer, _, _, starts = _tokenizer(data)
+    single = [w for w in words if w.startswith(MARK) and not w.startswith(MARK, 1)]
+    several = [w for w in words if not w.startswith(MARK) or w.startswith(MARK, 1)]
+    found = [x.ids for x in tokenizer.encode_batch_fast(several, add_special_tokens=False)]
+    if single:
+        flat = tokenizer.encode_batch_fast(["".join(single)], add_special_tokens=False)[0].ids
+        cuts = [*np.flatnonzero(starts[flat]).tolist(), len(flat)]
+        if len(cuts) != len(single) + 1:
+            raise ValueError("a word has another number of marks than one")
+        found += [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+    texts = tokenizer.decode_batch(found, skip_special_tokens=False)
+    return {w: (array("i", ids).tobytes(), text) for w, ids, text in zip(several + single, found, texts)}
+
+
+def coded_batch(texts: list[str], data: bytes) -> tuple[list[bytes], list[str]]:
+    """Of each text the ids, as the bytes of 32-bit numbers, and the text that they decode to. The tokenizer cuts prepared() texts at marks and encodes each word by
+    itself, so a word that comes again has the same ids. A word's pieces begin with a mark, so they decode by themselves, and the first loses its space alone."""
+    tokenizer, plain, kept, _ = _tokenizer(data)
     if kept is None:
         found = tokenizer.encode_batch_fast(list(map(prepared, texts)) if plain else texts, add_special_tokens=False)
-        return [x.ids if text else [] for x, text in zip(found, texts)]
+        ids = [x.ids if text else [] for x, text in zip(found, texts)]
+        return [array("i", x).tobytes() for x in ids], decode_batch(ids, data)
     words = [re.findall(WORDS, prepared(text)) if text else [] for text in texts]
-    new = list(set(chain.from_iterable(words)).difference(kept))
-    ids = dict(zip(new, (x.ids for x in tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-    if len(kept) < KEPT_WORDS:
-        kept.update((w, x) for w, x in ids.items() if len(w) <= KEPT_CHARS)
-    return [list(chain.from_iterable([kept[w] if w in kept else ids[w] for w in of_text])) for of_text in words]
+    new = _words_coded(list(set(chain.from_iterable(words)).difference(kept)), data)
+    passing = [w for w in new if len(w) > KEPT_CHARS] if len(kept) < KEPT_WORDS else list(new)
+    kept.update(new)
+    codes, decoded = [], []
+    for of_text in words:
+        parts = list(map(kept.__getitem__, of_text))
+        codes.append(b"".join([x[0] for x in parts]))
+        decoded.append(" ".join([x[1] for x in parts]))
+    for w in passing:
+        del kept[w]
+    return codes, decoded
+
+
+def encode_batch(texts: list[str], data: bytes) -> list[list[int]]:
+    """The ids of each text."""
+    return [np.frombuffer(x, np.int32).tolist() for x in coded_batch(texts, data)[0]]
 
 
 def _library(data: bytes):
@@ -230,14 +263,15 @@ def encode_texts(docs: DataFrame, keep: list[str], text: str = "text", model: by
         for batch in batches:
             at = 0
             for part in _in_slices(batch.column(1).to_pylist()):
-                ids = encode_batch(part, data)
-                arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())]
-                decoded = decode_batch(ids, data) if decode else None
+                codes, decoded = coded_batch(part, data)
+                sizes = np.array([len(x) // 4 for x in codes], np.int64)
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)  # of a slice; a text has fewer than 2^31 bytes
+                arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(codes), np.int32))), pa.array(sizes)]
                 if decode:
                     arrays.append(pa.array(decoded, pa.string()))
                 if checked:
                     chosen = [i for i in range(len(part)) if batch.column(2)[at + i].as_py()]
-                    wrong = {chosen[i] for i in parity([part[i] for i in chosen], data, [ids[i] for i in chosen], decoded and [decoded[i] for i in chosen])}
+                    wrong = {chosen[i] for i in _differing([part[i] for i in chosen], data, [codes[i] for i in chosen], [decoded[i] for i in chosen])}
                     same = dict.fromkeys(chosen, True) | dict.fromkeys(wrong, False)
                     arrays.append(pa.array([same.get(i) for i in range(len(part))], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *arrays], names=[f.name for f in fields])
@@ -247,13 +281,15 @@ def encode_texts(docs: DataFrame, keep: list[str], text: str = "text", model: by
     return out.select(*([F.col("_row")[c].alias(c) for c in keep]), *[f.name for f in fields[1:]])
 
 
-def parity(texts: list[str], data: bytes, ids: list[list[int]] | None = None, decoded: list[str] | None = None) -> list[int]:
-    """The numbers of the texts whose ids or decoded form differ from the sentencepiece library's; ids and decoded where they are there already."""
+def _differing(texts: list[str], data: bytes, codes: list[bytes], decoded: list[str]) -> list[int]:
     theirs = _library(data)
-    ids = encode_batch(texts, data) if ids is None else ids
-    decoded = decode_batch(ids, data) if decoded is None else decoded
     expected = theirs.encode(texts, num_threads=1)
-    return [i for i, (a, b, text) in enumerate(zip(ids, expected, decoded)) if a != b or text != theirs.decode(b)]
+    return [i for i, (a, b, text) in enumerate(zip(codes, expected, decoded)) if array("i", b).tobytes() != a or text != theirs.decode(b)]
+
+
+def parity(texts: list[str], data: bytes) -> list[int]:
+    """The numbers of the texts whose ids or decoded form differ from the sentencepiece library's."""
+    return _differing(texts, data, *coded_batch(texts, data))
 
 
 def verify_parity(docs: DataFrame, text: str = "text", model: bytes | None = None) -> DataFrame:

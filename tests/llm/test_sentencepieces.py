@@ -87,3 +87,15 @@ def test_words_beyond_the_kept_ones_have_the_same_ids(model, monkeypatch):
         sp._CACHE.clear()
         assert [sp.encode_batch([t], model)[0] for t in texts] == expected == sp.encode_batch(texts, model)
     sp._CACHE.clear()
+
+
+def test_words_decode_by_themselves(model):
+    """Texts put together from the words' ids and decoded forms are those of the whole text; ids come as 32-bit numbers."""
+    whole = sp.PieceModel(model).tokenizer()
+    texts = [*ODD, "  two  marks ", "a ▁ b", "▁▁x", "é 🙂 🙂🙂 <0x41> <0xE2>", " ".join(f"w{i}é{i % 9}" for i in range(300))]
+    sp._CACHE.clear()
+    for _ in range(2):
+        codes, decoded = sp.coded_batch(texts, model)
+        expected = [x.ids if t else [] for x, t in zip(whole.encode_batch(texts, add_special_tokens=False), texts)]
+        assert [len(c) // 4 for c in codes] == list(map(len, expected)) and sp.encode_batch(texts, model) == expected
+        assert decoded == whole.decode_batch(expected, skip_special_tokens=False) == sp.decode_batch(expected, model)
