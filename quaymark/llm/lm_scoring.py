@@ -369,7 +369,7 @@ _SCORED = T.StructType(
 )
 
 
-def _scorer(shared, most: int = 400_000):
+def _scorer(shared, most: int = 2_000_000):
     """Of (row, text): n_tokens; n_known and logs (sum of log10(c + 1)) of the words in the lookup; score without the counts of the words that aren't; these words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,3 +128,17 @@ def test_query_beats_the_unigrams_on_held_out_documents(spark):
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) * 0.98
     assert sum(r.score > r.base_score for r in held) > 0.8 * len(held)
+
+
+def test_long_texts_are_scored_beside_others(small, monkeypatch):
+    """Texts of a batch of 600,000 tokens run side by side in one call, so a long text's steps aren't taken for itself; scores are those of each text alone."""
+    vocabulary, model, _ = small
+    texts = ["w1 w2 w3 " * 3000, *["w4 w5 w6 w7 w8 w9 " * 100] * 1000]
+    calls, score = [], lm.log_likelihoods
+    monkeypatch.setattr(lm, "log_likelihoods", lambda m, held, *more: calls.append(len(held)) or score(m, held, *more))
+    shared = type("Shared", (), {"value": (model, vocabulary)})
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array(range(len(texts))), lm.pa.array(texts)], names=["row", "text"])
+    out = [x for b in lm._scorer(shared)(iter([batch])) for x in b.column(3).to_pylist()]
+    assert calls == [len(texts)] and len(out) == len(texts)
+    alone = [x for t in texts[:2] for b in lm._scorer(shared)(iter([batch.slice(texts.index(t), 1)])) for x in b.column(3).to_pylist()]
+    assert np.allclose(out[:2], alone, rtol=1e-4)
