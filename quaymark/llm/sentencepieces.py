@@ -25,6 +25,7 @@ KEPT_WORDS, KEPT_CHARS = 200_000, 40
 MARK = "▁"
 #: Where texts may be cut if no merge crosses from a word into the mark that follows.
 WORDS = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+_WORDS = re.compile(WORDS)
 _KINDS = {1: "normal", 2: "unknown", 3: "control", 4: "user", 5: "unused", 6: "byte"}
 
 
@@ -157,33 +158,46 @@ _CACHE: dict = {}
 
 
 def _tokenizer(data: bytes):
-    """The tokenizer, whether its texts have to be prepared(), the ids and texts of words kept so far (none where texts can't be cut into words), and which
-    pieces begin with a mark; one in each Python worker, and workers outlive their tasks."""
+    """The tokenizer, whether its texts have to be prepared(), the ids and, apart, texts of words kept so far (none where texts can't be cut into words), and
+    which pieces begin with a mark; one in each Python worker, and workers outlive their tasks."""
     key = hash(data)
     if key not in _CACHE:
         _CACHE.clear()
         model = PieceModel(data)
         by_words = model.plain() and model.splits_at_marks() and any(p == MARK and kind == "normal" for p, _, kind in model.pieces)
         starts = np.array([p.startswith(MARK) for p, _, _ in model.pieces], bool)
-        _CACHE[key] = model.tokenizer(not model.plain()), model.plain(), {} if by_words else None, starts
+        _CACHE[key] = model.tokenizer(not model.plain()), model.plain(), ({}, {}) if by_words else None, starts
     return _CACHE[key]
 
 
-def _words_coded(words: list[str], data: bytes) -> dict[str, tuple[bytes, str]]:
+def _words_coded(words: list[str], data: bytes) -> tuple[dict[str, bytes], dict[str, str]]:
     """Each word's ids, as the bytes of 32-bit numbers, and the text that they decode to. A word has one mark, at its front, so in the ids of many words at once
-    each piece that begins with a mark begins a word; words of several marks are encoded one by one."""
+    each piece that begins with a mark begins a word, and in their text each space; words of several marks are encoded one by one."""
+    from tokenizers import pre_tokenizers
+
     tokenizer, _, _, starts = _tokenizer(data)
     single = [w for w in words if w.startswith(MARK) and not w.startswith(MARK, 1)]
     several = [w for w in words if not w.startswith(MARK) or w.startswith(MARK, 1)]
     found = [x.ids for x in tokenizer.encode_batch_fast(several, add_special_tokens=False)]
+    texts = tokenizer.decode_batch(found, skip_special_tokens=False)
+    codes = [array("i", ids).tobytes() for ids in found]
     if single:
-        flat = tokenizer.encode_batch_fast(["".join(single)], add_special_tokens=False)[0].ids
-        cuts = [*np.flatnonzero(starts[flat]).tolist(), len(flat)]
-        if len(cuts) != len(single) + 1:
+        general = tokenizer.pre_tokenizer
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")  # cuts words of one mark as the general one does, without an expression
+        try:
+            flat = tokenizer.encode_batch_fast(["".join(single)], add_special_tokens=False)[0].ids
+        finally:
+            tokenizer.pre_tokenizer = general
+        ids = np.array(flat, np.int32)
+        cuts = [*(4 * np.flatnonzero(starts[ids])).tolist(), 4 * len(flat)]
+        decoded = tokenizer.decode(flat, skip_special_tokens=False).split(" ")
+        if len(cuts) != len(single) + 1 or len(decoded) != len(single):
             raise ValueError("a word has another number of marks than one")
-        found += [flat[a:b] for a, b in zip(cuts, cuts[1:])]
-    texts = tokenizer.decode_batch(found, skip_special_tokens=False)
-    return {w: (array("i", ids).tobytes(), text) for w, ids, text in zip(several + single, found, texts)}
+        whole = ids.tobytes()
+        codes += [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+        texts += decoded
+    named = several + single
+    return dict(zip(named, codes)), dict(zip(named, texts))
 
 
 def coded_batch(texts: list[str], data: bytes) -> tuple[list[bytes], list[str]]:
@@ -194,17 +208,16 @@ def coded_batch(texts: list[str], data: bytes) -> tuple[list[bytes], list[str]]:
         found = tokenizer.encode_batch_fast(list(map(prepared, texts)) if plain else texts, add_special_tokens=False)
         ids = [x.ids if text else [] for x, text in zip(found, texts)]
         return [array("i", x).tobytes() for x in ids], decode_batch(ids, data)
-    words = [re.findall(WORDS, prepared(text)) if text else [] for text in texts]
-    new = _words_coded(list(set(chain.from_iterable(words)).difference(kept)), data)
-    passing = [w for w in new if len(w) > KEPT_CHARS] if len(kept) < KEPT_WORDS else list(new)
-    kept.update(new)
-    codes, decoded = [], []
-    for of_text in words:
-        parts = list(map(kept.__getitem__, of_text))
-        codes.append(b"".join([x[0] for x in parts]))
-        decoded.append(" ".join([x[1] for x in parts]))
+    words = [_WORDS.findall(prepared(text)) if text else [] for text in texts]
+    ids_of, text_of = kept
+    new = list(set(chain.from_iterable(words)).difference(ids_of))
+    passing = [w for w in new if len(w) > KEPT_CHARS] if len(ids_of) < KEPT_WORDS else new
+    for held, found in zip(kept, _words_coded(new, data)):
+        held.update(found)
+    codes = [b"".join(map(ids_of.__getitem__, of_text)) for of_text in words]
+    decoded = [" ".join(map(text_of.__getitem__, of_text)) for of_text in words]
     for w in passing:
-        del kept[w]
+        del ids_of[w], text_of[w]
     return codes, decoded
 
 

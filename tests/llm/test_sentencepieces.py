@@ -99,3 +99,33 @@ def test_words_decode_by_themselves(model):
         expected = [x.ids if t else [] for x, t in zip(whole.encode_batch(texts, add_special_tokens=False), texts)]
         assert [len(c) // 4 for c in codes] == list(map(len, expected)) and sp.encode_batch(texts, model) == expected
         assert decoded == whole.decode_batch(expected, skip_special_tokens=False) == sp.decode_batch(expected, model)
+
+
+def test_words_of_one_mark_are_coded_and_decoded_in_one_call(model):
+    """Only words of several marks are handed over one by one; what comes out is what each word gives by itself."""
+    words = [f"▁w{i}é" for i in range(300)] + ["▁", "▁🙂", "▁a\nb", "▁<0x41>", "▁ x", "▁　", "▁▁", "▁▁x", "▁▁▁y\t", "▁<unk>", "▁\x00"]
+    whole = sp.PieceModel(model).tokenizer(False)
+    expected = [x.ids for x in whole.encode_batch(words, add_special_tokens=False)]
+    sp._CACHE.clear()
+    known, asked = sp._tokenizer(model), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(known[0], name)
+
+        def __setattr__(self, name, value):
+            setattr(known[0], name, value)
+
+        def decode_batch(self, ids, **more):
+            asked.append(len(ids))
+            return known[0].decode_batch(ids, **more)
+
+    sp._CACHE[hash(model)] = (Counted(), *known[1:])
+    try:
+        codes, texts = sp._words_coded(words, model)
+    finally:
+        sp._CACHE.clear()
+    assert asked == [3]
+    assert [sp.np.frombuffer(codes[w], sp.np.int32).tolist() for w in words] == expected
+    assert [texts[w] for w in words] == whole.decode_batch(expected, skip_special_tokens=False)
+    assert sp.encode_batch(["a  b"], model) == [x.ids for x in whole.encode_batch(["▁a▁▁b"], add_special_tokens=False)]  # the general cut is in place again
