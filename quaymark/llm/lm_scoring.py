@@ -27,6 +27,8 @@ HIDDEN, WINDOW, TRAIN_LANES, LANES = 32, 32, 256, 256
 #: Every training text trains once, in spans of SPAN tokens, over which the state is carried: rows are dealt to ROUNDS rounds by a hash, and after each round the
 #: tasks' models are averaged. The pace of Adam's steps halves each time that the steps grow fourfold beyond SLOWER.
 SPAN, ROUNDS, RATE, SLOWER = 2048, 2, 0.004, 200
+#: Rows of which classes are told at once.
+BLOCK = 1024
 #: Models are averaged in so many groups before the driver averages these.
 GROUPS = 32
 FLUSH_WORDS = 300_000
@@ -96,50 +98,69 @@ class Model:
         g = h @ self.wh
         zr = gates[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
         np.negative(zr, out=zr)
-        np.exp(np.clip(zr, -30, 30, out=zr), out=zr)
+        np.exp(np.minimum(zr, np.float32(30), out=zr), out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
         z, r, own = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
-        new = np.tanh(gates[:, 2 * HIDDEN :] + r * own)
-        return new + z * (h - new), z, r, own, new
+        new = r * own
+        new += gates[:, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return out, z, r, own, new
 
     def outputs(self, h: np.ndarray, classes: np.ndarray, members: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-likelihood of each row's class and, in the first CLASSES classes, word; with grads also the gradient of its negative sum by h."""
-        n = len(h)
-        logits = h @ self.wc + self.bc
-        logits -= logits.max(1, keepdims=True)
-        rows = np.arange(n)
-        picked = logits[rows, classes]
-        np.exp(logits, out=logits)
-        sums = logits.sum(1)
-        out = picked - np.log(sums)
-        dh = None
-        if grads is not None:
-            logits /= sums[:, None]
-            logits[rows, classes] -= 1
-            grads["wc"] += h.T @ logits
-            grads["bc"] += logits.sum(0)
-            dh = logits @ self.wc.T
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+        # states are between -1 and 1: where no logit can get near the largest exponent of a float, the row's maximum needn't be taken off
+        small = max(float((np.abs(self.wc).sum(0) + np.abs(self.bc)).max()), float((np.abs(self.ww).sum(1) + np.abs(self.bw)).max())) < 60
+        ones = np.ones(max(CLASSES + SHAPES, MEMBERS), np.float32)
+        n, rows = len(h), np.arange(len(h))
+        order = np.argsort(classes.astype(np.int16), kind="stable")  # rows of a class are next to each other
+        h, classes, members = h[order], classes[order], members[order]
+        cuts = np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
+
+        def softened(logits: np.ndarray, chosen: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not small:
+                logits -= logits.max(1, keepdims=True)
+            picked = logits[own, chosen]
+            np.exp(logits, out=logits)
+            sums = logits @ ones[: logits.shape[1]]
+            return picked - np.log(sums), sums
+
+        found, dh = np.empty(n, np.float32), None if grads is None else np.empty_like(h)
+        for first in range(0, n, BLOCK):  # logits of so many rows stay in the processor's cache
+            at = slice(first, min(first + BLOCK, n))
+            own = rows[: at.stop - first]
+            logits = h[at] @ self.wc
+            logits += self.bc
+            found[at], sums = softened(logits, classes[at], own)
+            if grads is not None:
+                logits /= sums[:, None]
+                logits[own, classes[at]] -= 1
+                grads["wc"] += h[at].T @ logits
+                grads["bc"] += logits.sum(0)
+                dh[at] = logits @ self.wc.T
         for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if not len(at):
+            at = slice(cuts[c], cuts[c + 1])
+            if at.start == at.stop:
                 continue
-            x, m = h[at], members[at]
-            l = x @ self.ww[c] + self.bw[c]
-            l -= l.max(1, keepdims=True)
-            own = np.arange(len(at))
-            picked = l[own, m]
-            np.exp(l, out=l)
-            sums = l.sum(1)
-            out[at] += picked - np.log(sums)
+            x, m, own = h[at], members[at], rows[: at.stop - at.start]
+            l = x @ self.ww[c]
+            l += self.bw[c]
+            logs, sums = softened(l, m, own)
+            found[at] += logs
             if grads is not None:
                 l /= sums[:, None]
                 l[own, m] -= 1
                 grads["ww"][c] += x.T @ l
                 grads["bw"][c] += l.sum(0)
                 dh[at] += l @ self.ww[c].T
+        out = np.empty(n, found.dtype)
+        out[order] = found
+        if dh is not None:
+            sorted_dh, dh = dh, np.empty_like(dh)
+            dh[order] = sorted_dh
         return out, dh
 
 
@@ -199,13 +220,13 @@ def log_likelihoods(model: Model, texts: list[Encoded], lanes: int = LANES) -> n
     inputs, classes, members, which, starts = _in_lanes(texts, lanes)
     table = model.embed @ model.wx + model.b
     total = np.zeros(len(texts))
-    active = (which >= 0).sum(1)
+    active, begins = (which >= 0).sum(1).tolist(), starts.any(1).tolist()
     h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
     for first in range(0, len(inputs), WINDOW):
         states, places = [], slice(first, min(first + WINDOW, len(inputs)))
         for t in range(places.start, places.stop):
             a = active[t]
-            h = np.where(starts[t, :a, None], np.float32(0), h[:a])  # a new array: the state before is still to be scored
+            h = np.where(starts[t, :a, None], np.float32(0), h[:a]) if begins[t] else h[:a]  # the state before is still to be scored
             h = model.step(table[inputs[t, :a]], h)[0]
             states.append(h)
         real = which[places] >= 0
@@ -220,6 +241,7 @@ class Trainer:
     def __init__(self, model: Model, rate: float = RATE, lanes: int = TRAIN_LANES):
         self.model, self.flat, self.rate, self.lanes, self.steps = model, model.flat(), rate, lanes, 0
         self.first_moment, self.second_moment = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.room: dict[str, np.ndarray] = {}
 
     def learn(self, texts: list[Encoded]) -> None:
         inputs, classes, members, which, starts = _in_lanes(texts, self.lanes)
@@ -227,7 +249,7 @@ class Trainer:
         for first in range(0, len(inputs), WINDOW):
             n = int((which[first] >= 0).sum())  # lanes are sorted by length: the others have ended
             at = slice(first, min(first + WINDOW, len(inputs))), slice(0, n)
-            grads, h, tokens_ = _window(self.model, inputs[at], classes[at], members[at], which[at] >= 0, starts[at], h[:n])
+            grads, h, tokens_ = _window(self.model, inputs[at], classes[at], members[at], which[at] >= 0, starts[at], h[:n], self.room)
             self._step(np.concatenate([grads[k].ravel() for k in Model.NAMES]) / max(tokens_, 1))
 
     def _step(self, gradient: np.ndarray) -> None:
@@ -243,38 +265,62 @@ class Trainer:
         self.model = self.model.replaced(self.flat)
 
 
-def _window(model: Model, inputs, classes, members, real, starts, h) -> tuple[dict, np.ndarray, int]:
-    """Gradients of one window's summed negative log-likelihood, the state after it, and its tokens."""
+def _in_room(room: dict[str, np.ndarray], name: str, *shape_: int) -> np.ndarray:
+    """An array of this shape whose memory is kept in room: memory that is asked for and given back in every window costs the system a third of training."""
+    size = math.prod(shape_)
+    if name not in room or room[name].size < size:
+        room[name] = np.empty(size, np.float32)
+    return room[name][:size].reshape(shape_)
+
+
+def _window(model: Model, inputs, classes, members, real, starts, h, room: dict | None = None) -> tuple[dict, np.ndarray, int]:
+    """Gradients of one window's summed negative log-likelihood, the state after it, and its tokens. Nothing that is returned lies in room."""
+    room = {} if room is None else room
     grads = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
     table = model.embed @ model.wx + model.b
-    kept, states = [], []
-    for t in range(len(inputs)):
-        h = np.where(starts[t][:, None], 0, h).astype(np.float32)
-        new_h, z, r, own, new = model.step(table[inputs[t]], h)
-        kept.append((h, z, r, own, new))
-        states.append(new_h)
-        h = new_h
-    hidden = np.stack(states)
+    steps, begins = range(len(inputs)), starts.any(1).tolist()
+    gates = np.take(table, inputs, axis=0, out=_in_room(room, "gates", *inputs.shape, 3 * HIDDEN), mode="clip")
+    names = ("before", "hidden", "z", "r", "own", "new", "d_new", "d_hidden", "to_new", "to_z", "to_r")
+    before, hidden, z, r, own, new, d_new, d_hidden, to_new, to_z, to_r = (_in_room(room, name, *inputs.shape, HIDDEN) for name in names)
+    for t in steps:
+        if begins[t]:
+            h = np.where(starts[t][:, None], np.float32(0), h)
+        before[t] = h
+        h, z[t], r[t], own[t], new[t] = model.step(gates[t], h)
+        hidden[t] = h
     _, dh_out = model.outputs(hidden[real], classes[real], members[real], grads)
-    d_hidden = np.zeros_like(hidden)
+    d_hidden[~real] = 0
     d_hidden[real] = dh_out
-    d_gates = np.zeros((*inputs.shape, 3 * HIDDEN), np.float32)
+    # what the gradient of a state is multiplied with is known for the whole window; only the gradient itself goes step by step
+    np.subtract(1, z, out=d_new)
+    np.multiply(np.subtract(before, new, out=to_z), z, out=to_z)
+    to_z *= d_new
+    np.subtract(1, np.multiply(new, new, out=to_new), out=to_new)
+    to_new *= d_new
+    np.multiply(np.subtract(1, r, out=to_r), r, out=to_r)
+    to_r *= own
+    d_gates = _in_room(room, "d_gates", *inputs.shape, 3 * HIDDEN)  # of the state's part, and in the end of the inputs' part
+    back = np.ascontiguousarray(model.wh.T)
     dh = np.zeros_like(h)
-    for t in range(len(inputs) - 1, -1, -1):
-        before, z, r, own, new = kept[t]
-        dh = dh + d_hidden[t]
-        d_new = dh * (1 - z) * (1 - new * new)
-        d_z = dh * (before - new) * z * (1 - z)
-        d_r = d_new * own * r * (1 - r)
-        d_g = np.concatenate((d_z, d_r, d_new * r), 1)
-        d_gates[t, :, : 2 * HIDDEN], d_gates[t, :, 2 * HIDDEN :] = d_g[:, : 2 * HIDDEN], d_new
-        grads["wh"] += before.T @ d_g
-        dh = (dh * z + d_g @ model.wh.T) * ~starts[t][:, None]
-    d_flat, flat_inputs = d_gates.reshape(-1, 3 * HIDDEN), inputs.ravel()
+    for t in reversed(steps):
+        dh += d_hidden[t]
+        d_g = d_gates[t]
+        np.multiply(dh, to_new[t], out=d_new[t])
+        np.multiply(dh, to_z[t], out=d_g[:, :HIDDEN])
+        np.multiply(d_new[t], to_r[t], out=d_g[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(d_new[t], r[t], out=d_g[:, 2 * HIDDEN :])
+        dh *= z[t]
+        dh += d_g @ back
+        if begins[t]:
+            dh[starts[t]] = 0
+    grads["wh"] += before.reshape(-1, HIDDEN).T @ d_gates.reshape(-1, 3 * HIDDEN)
+    d_gates[:, :, 2 * HIDDEN :] = d_new
+    d_flat, flat_inputs = d_gates.reshape(-1, 3 * HIDDEN), inputs.astype(np.int16).ravel()
     d_table = np.zeros((Model.INPUTS, 3 * HIDDEN), np.float32)
     order = np.argsort(flat_inputs, kind="stable")
     cuts = np.flatnonzero(np.diff(flat_inputs[order], prepend=-1))
-    d_table[flat_inputs[order][cuts]] = np.add.reduceat(d_flat[order], cuts, axis=0)
+    by_input = np.take(d_flat, order, axis=0, out=gates.reshape(d_flat.shape), mode="clip")
+    d_table[flat_inputs[order][cuts]] = np.add.reduceat(by_input, cuts, axis=0)
     grads["b"] += d_flat.sum(0)
     grads["wx"] += model.embed.T @ d_table
     grads["embed"] += d_table @ model.wx.T

@@ -142,3 +142,41 @@ def test_long_texts_are_scored_beside_others(small, monkeypatch):
     assert calls == [len(texts)] and len(out) == len(texts)
     alone = [x for t in texts[:2] for b in lm._scorer(shared)(iter([batch.slice(texts.index(t), 1)])) for x in b.column(3).to_pylist()]
     assert np.allclose(out[:2], alone, rtol=1e-4)
+
+
+def test_windows_share_their_memory(small):
+    """Training asks for its large arrays once; what a window gives is the same with memory of other windows in it, and isn't overwritten by the next."""
+    _, model, texts = small
+    inputs, classes, members, which, starts = lm._in_lanes(texts, 8)
+    args = [(inputs[at], classes[at], members[at], which[at] >= 0, starts[at]) for at in (slice(0, 32), slice(32, 50))]
+    h, room = np.zeros((8, lm.HIDDEN), np.float32), {}
+    alone = [lm._window(model, *x, h) for x in args]
+    shared = [lm._window(model, *x, h, room) for x in args]
+    kept = {k: id(v) for k, v in room.items()}
+    again = lm._window(model, *args[0], h, room)
+    assert kept == {k: id(v) for k, v in room.items()} and len(kept) > 5
+    for (g, after, n), (g2, after2, n2) in zip([*alone, alone[0]], [*shared, again]):
+        assert n == n2 and np.array_equal(after, after2) and all(np.array_equal(g[k], g2[k]) for k in lm.Model.NAMES)
+    trainer = lm.Trainer(model)
+    trainer.learn(texts)
+    assert trainer.room
+
+
+def test_outputs_of_large_weights_and_of_several_blocks(small, monkeypatch):
+    """Where weights are too large for a float's exponent the rows' maxima are taken off, and blocks of rows give what all rows give."""
+    _, model, _ = small
+    rng = np.random.default_rng(6)
+    h = np.tanh(rng.standard_normal((700, lm.HIDDEN))).astype(np.float32)
+    classes = rng.integers(0, lm.CLASSES + lm.SHAPES, 700)
+    members = np.where(classes < lm.CLASSES, rng.integers(0, lm.MEMBERS, 700), 0)
+    for scale in (1, 100):
+        large = lm.Model({k: getattr(model, k) * np.float32(scale if k in ("wc", "ww") else 1) for k in lm.Model.NAMES})
+        logits = h.astype(float) @ large.wc + large.bc
+        top = logits.max(1)
+        want = logits[np.arange(700), classes] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        for i in np.flatnonzero(classes < lm.CLASSES):
+            l = h[i].astype(float) @ large.ww[classes[i]] + large.bw[classes[i]]
+            want[i] += l[members[i]] - l.max() - math.log(np.exp(l - l.max()).sum())
+        for block in (64, 1024):
+            monkeypatch.setattr(lm, "BLOCK", block)
+            assert np.allclose(large.outputs(h, classes, members)[0], want, rtol=1e-4, atol=1e-3)
