@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -114,3 +115,41 @@ def test_dictionaries_are_sent_on(monkeypatch):
 def test_empty_tables(spark):
     assert not phrases.collocations(spark.createDataFrame([], SCHEMA)).collect()
     assert not phrases.collocations(spark.createDataFrame([(1, None, None, 1, "")], SCHEMA)).collect()
+
+
+def test_suffixes_take_few_bytes_where_nearly_all_pass(spark, monkeypatch):
+    """In a large corpus nearly all pairs and triples pass, so what is sent of a suffix must be less than the text it is of, and is not written again for hot buckets."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(3000)]
+    chosen = np.minimum(rng.zipf(1.2, (300, 400)) - 1, 2999)
+    rows = [(i, " ".join(words[k] for k in row), "en", 0, "") for i, row in enumerate(chosen.tolist())]
+    sizes, write = {}, phrases.written
+
+    def measured(df, name, *more):
+        out = write(df, name, *more)
+        path = spark._quaymark_written[-1].removeprefix("file://")
+        sizes[name] = (sum(p.stat().st_size for p in Path(path).rglob("*.parquet")), out.agg({"n": "sum"}).first()[0] if "n" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(phrases, "written", measured)
+    monkeypatch.setattr(phrases, "LANE_ROWS", 500)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    assert phrases.collocations(df, 2).count() == 2000
+    n_bytes, n_suffixes = sizes["suffixes"]
+    assert n_suffixes > 30_000 and n_bytes < 12 * n_suffixes
+    assert "routed-suffixes" in sizes and "hot-suffixes" not in sizes
+
+
+def test_words_without_codes_and_slots_by_the_text(spark, monkeypatch):
+    """Words beyond the numbered ones go by their ids; with more slots for the text the same phrases are found."""
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    expected = plain(rows, 12)
+    counted, counter = [], phrases._counter
+    monkeypatch.setattr(phrases, "_counter", lambda n: counted.append(n) or counter(n))
+    monkeypatch.setattr(phrases, "MOST_SLOTS", 2 * phrases.SLOTS)
+    for known, chars in ((0, 128), (3, 128), (1 << 19, 0.001)):
+        monkeypatch.setattr(phrases, "KNOWN", known)
+        monkeypatch.setattr(phrases, "SLOT_CHARS", chars)
+        assert collected(phrases.collocations(df, 12)) == expected
+    assert counted[0] == counted[1] == phrases.SLOTS < counted[2] == phrases.MOST_SLOTS
